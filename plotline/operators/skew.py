@@ -1,0 +1,45 @@
+"""Slicing of hot join keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def slice_hot_keys(
+    left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, rows_per_slice: int = 100_000
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Make both sides of an equi-join safe against hot keys.
+
+    A key with more rows than ``rows_per_slice`` on a side is cut into slices
+    on that side and repeated for them on the other, so one task meets at most
+    ``rows_per_slice`` rows of each side for a key.  Every pair still meets
+    exactly once.  Nothing is repeated when no key is hot.
+    """
+    per_left = left.groupBy(*keys).agg(F.count("*").alias("rows_left"))
+    per_right = right.groupBy(*keys).agg(F.count("*").alias("rows_right"))
+    hot = (
+        per_left.join(per_right, keys)
+        .filter((F.col("rows_left") > rows_per_slice) | (F.col("rows_right") > rows_per_slice))
+        .select(
+            *keys,
+            F.ceil(F.col("rows_left") / rows_per_slice).cast("int").alias("left_slices"),
+            F.ceil(F.col("rows_right") / rows_per_slice).cast("int").alias("right_slices"),
+        )
+    )
+    if hot.isEmpty():
+        return left, right, keys
+
+    def cut(df, own_id, own, own_slices, other, other_slices):
+        own_n, other_n = F.coalesce(own_slices, F.lit(1)), F.coalesce(other_slices, F.lit(1))
+        return (
+            df.join(hot, keys, "left")
+            .withColumn(own, F.pmod(F.xxhash64(own_id), own_n).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1)))
+            .drop("left_slices", "right_slices")
+        )
+
+    slices = F.col("left_slices"), F.col("right_slices")
+    left = cut(left, left_id, "left_slice", slices[0], "right_slice", slices[1])
+    right = cut(right, right_id, "right_slice", slices[1], "left_slice", slices[0])
+    return left, right, [*keys, "left_slice", "right_slice"]
