@@ -66,13 +66,13 @@ def weighted_quantile(entries: Column, q: float) -> Column:
     usable = F.array_sort(
         F.filter(entries, lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]) & (e["weight"] > 0))
     )
-    zero = F.lit(0).cast("decimal(30,12)")
-    total = F.aggregate(usable, zero, lambda acc, e: (acc + e["weight"]).cast("decimal(30,12)"))
-    target = (total * F.lit(q).cast("decimal(4,2)")).cast("decimal(34,14)")
+    zero = F.lit(0).cast("decimal(30,20)")
+    total = F.aggregate(usable, zero, lambda acc, e: (acc + e["weight"]).cast("decimal(30,20)"))
+    target = (total * F.lit(q).cast("decimal(4,2)")).cast("decimal(34,22)")
     start = F.struct(zero.alias("run"), F.lit(None).cast("double").alias("value"))
 
     def step(acc, e):
-        run = (acc["run"] + e["weight"]).cast("decimal(30,12)")
+        run = (acc["run"] + e["weight"]).cast("decimal(30,20)")
         return F.struct(
             run.alias("run"),
             F.coalesce(acc["value"], F.when(run >= target, e["value"])).alias("value"),
