@@ -58,7 +58,8 @@ def _coefficients(source: str, median_surface: str) -> str:
     {_r('greatest(0.7, least(1.35, product))')} AS k_total, product < 0.7::DOUBLE OR product > 1.35::DOUBLE AS clamped
   FROM (SELECT *, raw_surface * raw_floor * raw_outdoor * raw_condition * raw_dpe AS product FROM (
     SELECT m.*,
-      coalesce(greatest(0.85::DOUBLE, least(1.15::DOUBLE, pow({median_surface} / m.surface, a.value))), 1.0::DOUBLE) AS raw_surface,
+      CASE WHEN {median_surface} IS NULL THEN 1.0::DOUBLE
+        ELSE greatest(0.85::DOUBLE, least(1.15::DOUBLE, pow({median_surface} / m.surface, a.value))) END AS raw_surface,
       greatest(0.9::DOUBLE, least(1.06::DOUBLE, coalesce(f.value, 1.0::DOUBLE))) AS raw_floor,
       greatest(1.0::DOUBLE, least(1.08::DOUBLE, coalesce(o.value, 1.0::DOUBLE))) AS raw_outdoor,
       greatest(0.85::DOUBLE, least(1.08::DOUBLE, coalesce(e.value, 1.0::DOUBLE))) AS raw_condition,

@@ -39,16 +39,20 @@ def months_between(start: Column, end: Column) -> Column:
     return F.datediff(end, start) / F.lit(fixed.DAYS_PER_MONTH)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def array_quantile(values: Column, q: float) -> Column:
     """Interpolated quantile of an array of doubles; null for an empty one.
 
     Meant for samples whose size the search already bounds.
     """
-    ordered = F.array_sort(values)
-    return _interpolated(ordered, q)
+    return bind(F.array_sort(values), lambda ordered: sorted_quantile(ordered, q))
 
 
-def _interpolated(ordered: Column, q: float) -> Column:
+def sorted_quantile(ordered: Column, q: float) -> Column:
     position = (F.size(ordered) - 1) * F.lit(float(q))
     low = F.floor(position).cast("int")
     below = F.try_element_at(ordered, low + 1)
@@ -56,8 +60,8 @@ def _interpolated(ordered: Column, q: float) -> Column:
     return F.when(F.size(ordered) > 0, below + (above - below) * (position - low))
 
 
-def weighted_quantile(entries: Column, q: float) -> Column:
-    """First value whose running weight reaches ``q`` of the total.
+def weighted_quantiles(entries: Column, qs: dict[str, float]) -> Column:
+    """Struct of weighted quantiles: first value whose running weight reaches q.
 
     ``entries`` is an array of ``struct<value: double, weight: decimal>``.
     Decimal weights add up the same way on every engine and in every order.
@@ -67,17 +71,26 @@ def weighted_quantile(entries: Column, q: float) -> Column:
         F.filter(entries, lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]) & (e["weight"] > 0))
     )
     zero = F.lit(0).cast("decimal(30,20)")
-    total = F.aggregate(usable, zero, lambda acc, e: (acc + e["weight"]).cast("decimal(30,20)"))
-    target = (total * F.lit(q).cast("decimal(4,2)")).cast("decimal(34,22)")
     start = F.struct(zero.alias("run"), F.lit(None).cast("double").alias("value"))
 
-    def step(acc, e):
-        run = (acc["run"] + e["weight"]).cast("decimal(30,20)")
+    def reach(ordered: Column, target: Column) -> Column:
+        def step(acc, e):
+            run = (acc["run"] + e["weight"]).cast("decimal(30,20)")
+            return F.struct(
+                run.alias("run"), F.coalesce(acc["value"], F.when(run >= target, e["value"])).alias("value")
+            )
+
+        return F.aggregate(ordered, start, step)["value"]
+
+    def of_total(ordered: Column, total: Column) -> Column:
+        share = lambda q: (total * F.lit(q).cast("decimal(4,2)")).cast("decimal(34,22)")
+        plain = lambda q: array_quantile(F.transform(entries, lambda e: e["value"]), q)
         return F.struct(
-            run.alias("run"),
-            F.coalesce(acc["value"], F.when(run >= target, e["value"])).alias("value"),
+            *[
+                F.when(F.size(ordered) > 0, bind(share(q), lambda t: reach(ordered, t))).otherwise(plain(q)).alias(name)
+                for name, q in qs.items()
+            ]
         )
 
-    found = F.aggregate(usable, start, step)["value"]
-    plain = array_quantile(F.transform(entries, lambda e: e["value"]), q)
-    return F.when(F.size(usable) > 0, found).otherwise(plain)
+    add = lambda acc, e: (acc + e["weight"]).cast("decimal(30,20)")
+    return bind(usable, lambda u: bind(F.aggregate(u, zero, add), lambda total: of_total(u, total)))

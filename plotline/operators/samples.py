@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline import fixed_values as fixed
-from plotline.functions.numbers import _interpolated
+from plotline.functions.numbers import sorted_quantile
 
 
 def _by_type(index: int) -> Column:
@@ -45,8 +45,8 @@ def clean_samples(samples: DataFrame) -> DataFrame:
         samples.withColumn("_verdicts", F.transform("sample", verdict))
         .withColumn("_within", F.filter("sample", lambda x: verdict(x) == "ok"))
         .withColumn("_prices", F.array_sort(F.transform("_within", lambda x: x["price"])))
-        .withColumn("_q1", _interpolated(F.col("_prices"), 0.25))
-        .withColumn("_q3", _interpolated(F.col("_prices"), 0.75))
+        .withColumn("_q1", sorted_quantile(F.col("_prices"), 0.25))
+        .withColumn("_q3", sorted_quantile(F.col("_prices"), 0.75))
         .withColumn("_low", F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1")))
         .withColumn("_high", F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1")))
         .withColumn(
