@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,9 @@ def local_session(cores: int | str = 8, name: str = "plotline", **extra: str) ->
     return spark
 
 
+_private_folder: list[str] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -45,14 +49,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="plotline-checkpoint-")
+        return named.rstrip("/")
+    if not _private_folder:
+        _private_folder.append(tempfile.mkdtemp(prefix="plotline-checkpoint-"))
+    return _private_folder[0]
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a multi-consumer intermediate to reliable storage and cut its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write an intermediate with several readers to the shared folder and read it back.
+
+    The copy survives lost executors, ends the lineage, and lets later steps
+    prune columns and size their joins.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
