@@ -1 +1,126 @@
-"""Registered queries."""
+"""Specified extensions over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plotline.catalog import comparables as cc
+from plotline.catalog import maintenance as cm
+from plotline.catalog import sales as cs
+from plotline.catalog.entries import part, query
+from plotline.functions.numbers import half_up_decimals as tidy
+from plotline.operators import market as mk
+from plotline.operators import second_wave as sw
+from plotline.operators import valuation as va
+from plotline.plans.backtest import backtest
+from plotline.sources import files as fi
+from plotline.sources import sample_market as sm
+
+TODAY = sm.REFERENCE_DATE
+
+_INDICES = """SELECT concat('1', CAST(o_orderkey % 4 AS STRING)) AS code_region, CASE o_orderkey % 3 WHEN 0 THEN 'appartement' WHEN 1 THEN 'maison' ELSE 'all' END AS type_bien,
+  CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, 100 + CAST(count(*) AS DOUBLE) / 1e1 AS value FROM {orders} WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3
+  UNION ALL SELECT 'FR', CASE WHEN o_orderkey % 2 = 0 THEN 'maison' ELSE 'all' END, CAST(date_trunc('quarter', o_orderdate) AS DATE), 100 + CAST(count(*) AS DOUBLE) / 1e1 FROM {orders} GROUP BY 1, 2, 3"""
+part("index_rows", _INDICES.format(orders="orders"))
+part("index_last", "SELECT code_region, type_bien, max_by(value, quarter) AS last_value FROM index_rows GROUP BY 1, 2")
+
+
+@query(
+    "X01_time_factors",
+    """WITH f AS (SELECT i.code_region, i.type_bien, i.quarter, l.last_value / i.value AS factor FROM index_rows i JOIN index_last l USING (code_region, type_bien))
+       SELECT s.sale_id, floor(coalesce(a.factor, b.factor, c.factor, e.factor, 1) * 1e6 + 0.5) / 1e6 AS time_factor,
+         CASE WHEN a.factor IS NOT NULL THEN 'region_type' WHEN b.factor IS NOT NULL THEN 'region' WHEN c.factor IS NOT NULL THEN 'country_type' WHEN e.factor IS NOT NULL THEN 'country' END AS index_level
+       FROM (SELECT *, date_trunc('quarter', date_mutation)::DATE AS quarter FROM market_sales) s
+       LEFT JOIN f a ON a.code_region = s.code_region AND a.type_bien = s.type_local AND a.quarter = s.quarter
+       LEFT JOIN f b ON b.code_region = s.code_region AND b.type_bien = 'all' AND b.quarter = s.quarter
+       LEFT JOIN f c ON c.code_region = 'FR' AND c.type_bien = s.type_local AND c.quarter = s.quarter
+       LEFT JOIN f e ON e.code_region = 'FR' AND e.type_bien = 'all' AND e.quarter = s.quarter""",
+)
+def time_factors(spark, d):
+    rows = sw.time_factors(cc.market(spark, d)["sales"], sm.on_spark(spark, d, _INDICES))
+    return rows.select("sale_id", tidy(F.col("time_factor"), 6).alias("time_factor"), "index_level")
+
+
+@query(
+    "X02_statistical_outliers",
+    """WITH g AS (SELECT code_insee, type_local, year(date_mutation) AS y, quantile_cont(prix_m2, 0.25) AS q1, quantile_cont(prix_m2, 0.75) AS q3 FROM sales
+         WHERE NOT is_outlier GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+       SELECT dedup_key, is_outlier OR coalesce(prix_m2 NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1), false) AS is_outlier,
+         CASE WHEN NOT is_outlier AND prix_m2 NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN 'iqr_commune' ELSE exclusion_reason END AS exclusion_reason
+       FROM sales s LEFT JOIN g ON g.code_insee = s.code_insee AND g.type_local = s.type_local AND g.y = year(s.date_mutation)""",
+)
+def statistical_outliers(spark, d):
+    marked = sw.statistical_outliers(cs.sales_table(spark, d), 5)
+    return marked.select("dedup_key", "is_outlier", "exclusion_reason")
+
+
+@query(
+    "X03_market_pages",
+    """WITH lv AS (SELECT code_insee, type_local, quantile_cont(prix_m2, 0.5) FILTER (WHERE date_mutation > DATE '2000-08-01') AS recent,
+         quantile_cont(prix_m2, 0.5) FILTER (WHERE date_mutation > DATE '1999-08-01' AND date_mutation <= DATE '2000-08-01') AS earlier, max(date_mutation)::VARCHAR AS last_sale
+         FROM sales WHERE NOT is_outlier GROUP BY 1, 2)
+       SELECT b.code_insee, b.type_local, b.bands, b.n, floor(m.med * 1e4 + 0.5) / 1e4 AS med, floor((recent / earlier - 1) * 100 * 1e4 + 0.5) / 1e4 AS change_12m_pct, last_sale
+       FROM (SELECT code_insee, type_local, count(*) AS bands, sum(n)::BIGINT AS n FROM bands GROUP BY 1, 2) b JOIN medians m USING (code_insee, type_local) JOIN lv USING (code_insee, type_local)""",
+)
+def market_pages(spark, d):
+    page = mk.market_page(cs.bands_table(spark, d), cs.sales_table(spark, d), TODAY)
+    return cs.plain(page, ["last_sale"]).withColumns(
+        {"med": tidy(F.col("med"), 4), "change_12m_pct": tidy(F.col("change_12m_pct"), 4)}
+    )
+
+
+@query("X05_backtest")
+def backtest_table(spark, d):
+    m = cc.market(spark, d)
+    return backtest(
+        m["sales"], m["medians"], m["land"], va.coefficient_rows(spark), va.department_references(spark), TODAY
+    )
+
+
+_BOARD = """SELECT CAST(ts AS TIMESTAMP) AS created_at, CASE WHEN event_type = 'error' THEN 'not-supported' ELSE 'comparables' END AS method_kind,
+  CAST(floor(value * 20) AS INT) AS duration_ms, CAST(event_id % 100 AS INT) AS confidence FROM {events}"""
+
+
+@query(
+    "X06_operations_board",
+    f"""SELECT CAST(created_at AS DATE)::VARCHAR AS day, count(*) AS n, floor(avg((method_kind = 'not-supported')::INT) * 1e4 + 0.5) / 1e4 AS deferred,
+        floor(quantile_cont(duration_ms::DOUBLE, 0.95) * 1e2 + 0.5) / 1e2 AS p95_ms, floor(avg(confidence) * 1e2 + 0.5) / 1e2 AS confidence,
+        quantile_cont(duration_ms::DOUBLE, 0.95) > 1500 AS slow, avg((method_kind = 'not-supported')::INT) > 0.02 AS too_many_deferred FROM ({_BOARD.format(events='events')}) GROUP BY 1,
+        CAST(created_at AS DATE)""",
+)
+def operations_board(spark, d):
+    return cs.plain(sw.operations_board(sm.on_spark(spark, d, _BOARD)), ["day"])
+
+
+@query(
+    "X07_coarse_points",
+    """SELECT b.id_mutation, coalesce(b.longitude, c.longitude) AS longitude, coalesce(b.latitude, c.latitude) AS latitude, b.longitude IS NOT NULL AS geoloc_fine,
+       CASE WHEN b.longitude IS NULL THEN CASE WHEN c.code_insee IS NOT NULL THEN 'commune_centroid' END ELSE 'dvf' END AS geoloc_source FROM built_rows b LEFT JOIN commune_rows c USING (code_insee)""",
+)
+def coarse_points(spark, d):
+    rows = sw.coarse_points(cs.facts(spark, d), sm.communes(spark, d))
+    return rows.select("id_mutation", "longitude", "latitude", "geoloc_fine", "geoloc_source")
+
+
+_STEPS = """SELECT concat(CAST(user_id AS STRING), ' ', CAST(CAST(ts AS DATE) AS STRING)) AS session_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3
+  WHEN 'purchase' THEN 4 ELSE 1 END AS step_number FROM {events}"""
+
+
+@query(
+    "X08_funnel",
+    f"""WITH f AS (SELECT session_id, max(step_number) AS furthest FROM ({_STEPS.format(events='events')}) GROUP BY 1), s AS (SELECT step, count(*) AS sessions FROM f, range(1, 5) t(step) WHERE step <= furthest GROUP BY 1)
+        SELECT s.step, s.sessions, s.sessions - coalesce(n.sessions, 0) AS left_here FROM s LEFT JOIN s n ON n.step = s.step + 1""",
+)
+def funnel(spark, d):
+    return sw.funnel(sm.on_spark(spark, d, _STEPS), 4)
+
+
+_ZONES = """SELECT lpad(CAST(n_nationkey + 1 AS STRING), 2, '0') AS code, n_name AS name, CAST(1000 + count(*) AS DOUBLE) AS price, CAST(count(*) AS DOUBLE) AS maisons,
+  CAST(max(c_custkey) AS DOUBLE) AS apparts, 5e-1 AS evol12, 12e0 AS evol5 FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_name"""
+
+
+@query("S06_zone_prices", _ZONES.format(customer="customer", nation="nation"))
+def zone_prices(spark, d):
+    path = cm._folder(spark, "zones")
+    sm.on_spark(spark, d, _ZONES).write.option("header", True).csv(path)
+    return fi.read_zone_prices(spark, path)
