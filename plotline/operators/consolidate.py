@@ -75,6 +75,12 @@ def _grains() -> Column:
 def first_per_grain(clean: DataFrame, *scope: str) -> DataFrame:
     """First line of each sale, each distinct parcel and each distinct unit."""
     at_head = F.col("g.grain") == HEAD
+    at_parcel = F.col("g.grain") == PARCEL
+    # each grain carries only the columns it is read for
+    header = [
+        F.when(at_head, F.col(n)).alias(n)
+        for n in ("nature_mutation", "date_mutation", "code_insee", "code_departement", "code_postal")
+    ]
     has_point = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
     keys = [*scope, "id_mutation"]
     return (
@@ -83,8 +89,9 @@ def first_per_grain(clean: DataFrame, *scope: str) -> DataFrame:
         .agg(
             F.min(
                 F.struct(
-                    "ord", "nature_mutation", "date_mutation", "code_insee", "code_departement",
-                    "code_postal", "voie", "built_type", "culture", "surface_terrain",
+                    "ord", *header, F.when(~at_parcel, F.col("voie")).alias("voie"), "built_type",
+                    F.when(at_parcel, F.col("culture")).alias("culture"),
+                    F.when(at_parcel, F.col("surface_terrain")).alias("surface_terrain"),
                 )
             ).alias("first"),
             F.max(F.when(at_head & (F.col("valeur_fonciere") > 0), F.col("valeur_fonciere"))).alias("valeur"),
