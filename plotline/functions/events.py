@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotline import fixed_values as fixed
-from plotline.functions.numbers import half_up_decimals
+from plotline.functions.numbers import bind, half_up_decimals
 
 
 def _short(c: Column) -> Column:
@@ -18,18 +18,22 @@ def _short(c: Column) -> Column:
 def acquisition(href: Column, referrer: Column, site_host: str) -> Column:
     """Campaign parameters, landing path and outside referrer; null if nothing is known."""
     known = F.try_parse_url(href, F.lit("HOST")).isNotNull()
-    fields = [
-        _short(F.try_url_decode(F.try_parse_url(href, F.lit("QUERY"), F.lit(parameter)))).alias(name)
-        for parameter, name in fixed.CAMPAIGN_PARAMETERS.items()
-    ]
+
+    def fields(query: Column) -> list[Column]:
+        return [
+            _short(F.try_url_decode(F.regexp_extract(query, f"(?:^|&){parameter}=([^&]*)", 1))).alias(name)
+            for parameter, name in fixed.CAMPAIGN_PARAMETERS.items()
+        ]
+
     path = F.try_parse_url(href, F.lit("PATH"))
     landing = F.when(known, _short(F.when(path == "", "/").otherwise(path))).alias("landingPage")
     host = F.try_parse_url(referrer, F.lit("HOST"))
     outside = F.when(host != site_host, _short(host)).alias("referrer")
-    block = F.struct(*fields, outside, landing)
     names = [*fixed.CAMPAIGN_PARAMETERS.values(), "referrer", "landingPage"]
-    anything = reduce(lambda a, b: a | b, [block[n].isNotNull() for n in names])
-    return F.when(anything, block)
+    anything = lambda b: reduce(lambda x, y: x | y, [b[n].isNotNull() for n in names])
+    # bound, so that each address is parsed once and not once per later use of a field
+    block = bind(F.try_parse_url(href, F.lit("QUERY")), lambda query: F.struct(*fields(query), outside, landing))
+    return bind(block, lambda b: F.when(anything(b), b))
 
 
 def campaign_touch(block: Column) -> Column:
