@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import decontaminate, pieces, secret_scan, sharding
+from plotline.llm import decontaminate, jaccard_join, pieces, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,9 @@ def benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
 def piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), lists=False).drop("text")
+
+
+@query("op7_jaccard_classes")
+def jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.classes(table(spark, folder, "documents"), words=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
