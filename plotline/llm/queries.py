@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import decontaminate, jaccard_join, pieces, secret_scan, sharding
+from plotline.llm import decontaminate, jaccard_join, language_score, pieces, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,9 @@ def piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
 def jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.classes(table(spark, folder, "documents"), words=4, percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op5_partial_matching")
+def partial_matching(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_score.score(table(spark, folder, "documents"), language_score.training())
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
