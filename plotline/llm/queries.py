@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import decontaminate, jaccard_join, language_score, pieces, secret_scan, sharding
+from plotline.llm import decontaminate, jaccard_join, language_score, pieces, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,9 @@ def jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
 def partial_matching(spark: SparkSession, folder: str) -> DataFrame:
     scored = language_score.score(table(spark, folder, "documents"), language_score.training())
     return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op9_kneser_ney_quality")
+def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select(F.col("key").alias("doc_id"), "lang", "symbols", "perplexity", "threshold", "keep")
