@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import decontaminate, jaccard_join, language_score, pieces, quality, secret_scan, sharding
+from plotline.llm import decontaminate, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ def partial_matching(spark: SparkSession, folder: str) -> DataFrame:
 def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select(F.col("key").alias("doc_id"), "lang", "symbols", "perplexity", "threshold", "keep")
+
+
+@query("op6_projected_neighbours")
+def projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, folder, "embeddings"))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("neighbour").alias("vec_id"), "score")
