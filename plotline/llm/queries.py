@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import decontaminate, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
+from plotline.llm import chat, decontaminate, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,8 @@ def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
 def projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     found = neighbours.nearest(table(spark, folder, "embeddings"))
     return found.select(F.col("query").alias("query_id"), "rank", F.col("neighbour").alias("vec_id"), "score")
+
+
+@query("op10_role_repair")
+def role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repaired(table(spark, folder, "conversations")).withColumnRenamed("conv", "conv_id")
