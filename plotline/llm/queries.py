@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import chat, decontaminate, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
+from plotline.llm import chat, decontaminate, html_pages, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_role_repair")
 def role_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repaired(table(spark, folder, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+@query("op1_page_differences")
+def page_differences(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_pages.extract(table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_restored")
