@@ -45,10 +45,8 @@ def masked_emails(spark, d):
     return sm.leads(spark, d).select("lead_row", privacy.masked_email(F.col("email")).alias("masked"))
 
 
-_PHONE = """CASE WHEN regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') = '' THEN '' WHEN trim(phone) LIKE '+%' THEN '+' || regexp_replace(phone, '[^0-9]', '', 'g')
-  WHEN regexp_replace(phone, '[^0-9]', '', 'g') LIKE '00%' THEN '+' || substr(regexp_replace(phone, '[^0-9]', '', 'g'), 3)
-  WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) = 10 AND regexp_replace(phone, '[^0-9]', '', 'g') LIKE '0%' THEN '+33' || substr(regexp_replace(phone, '[^0-9]', '', 'g'), 2)
-  WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) = 11 AND regexp_replace(phone, '[^0-9]', '', 'g') LIKE '33%' THEN '+' || regexp_replace(phone, '[^0-9]', '', 'g') ELSE '' END"""
+_BARE = "(CASE WHEN trim(phone) LIKE '+%' THEN '+' ELSE '' END || regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'))"
+_PHONE = "coalesce(" + ", ".join(f"'{prefix}' || nullif(regexp_extract({_BARE}, '{form}', 1), '')" for form, prefix in fixed.PHONE_FORMS) + ", '')"
 _HASHES = f"""CASE WHEN strpos(lower({_EMAIL}), '@') > 1 THEN sha256(lower({_EMAIL})) END AS email_hash,
   CASE WHEN {_PHONE} <> '' THEN sha256({_PHONE}) END AS phone_hash"""
 
@@ -92,18 +90,21 @@ def _parameter(name: str) -> str:
 
 _FIELDS = ", ".join(f'{_parameter(p)} AS "{n}"' for p, n in fixed.CAMPAIGN_PARAMETERS.items())
 part("touches", f"""
-  SELECT event_id, session_id, ts, {_FIELDS}, nullif(CASE WHEN regexp_matches(referrer, '^https?://') THEN regexp_extract(referrer, '^https?://([^/?#]+)', 1) ELSE '' END, '') AS host,
+  SELECT event_id, session_id, ts, {_FIELDS}, nullif(lower(regexp_extract(referrer, '^https?://([^/?#:]+)', 1)), '') AS host,
     regexp_extract(href, '^https?://[^/]+([^?#]*)', 1) AS "landingPage" FROM hit_rows""")
 part("blocks", f"""
   SELECT * EXCLUDE (host), CASE WHEN host <> '{SITE}' THEN host END AS referrer,
     coalesce(gclid, source, campaign, "campaignId") IS NOT NULL AS paid FROM touches""")
-_CHANNEL = """CASE WHEN gclid IS NOT NULL THEN 'Google Ads' WHEN lower(source) IN ('meta', 'facebook', 'instagram') OR lower(medium) = 'paid_social' THEN 'Meta Ads'
-  WHEN lower(medium) IN ('email', 'e-mail', 'newsletter') THEN CASE WHEN source IS NOT NULL THEN 'E-mailing (' || lower(source) || ')' ELSE 'E-mailing' END
-  WHEN lower(medium) = 'referral' THEN CASE WHEN source IS NOT NULL THEN 'Partenaire (' || lower(source) || ')' ELSE 'Partenaire' END
-  WHEN lower(medium) IN ('cpc', 'ppc', 'paid', 'display') THEN CASE WHEN source IS NOT NULL THEN 'Publicité (' || lower(source) || ')' ELSE 'Publicité' END
-  WHEN source IS NOT NULL THEN lower(source) || CASE WHEN medium IS NOT NULL THEN ' (' || lower(medium) || ')' ELSE '' END
-  WHEN referrer IS NOT NULL THEN CASE WHEN regexp_matches(referrer, '(^|\\.)(google|bing|yahoo|qwant|duckduckgo|ecosia|lilo|brave)\\.', 'i')
-    THEN 'Recherche naturelle (' || referrer || ')' ELSE 'Site référent (' || referrer || ')' END ELSE 'Accès direct' END"""
+def _map(table: dict) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+_LABELS = _map({k: label for k, (label, _) in fixed.CHANNEL_OF_MEDIUM.items()})
+_BEHIND = _map({k: "yes" for k, (_, with_source) in fixed.CHANNEL_OF_MEDIUM.items() if with_source})
+_CHANNEL = f"""coalesce(CASE WHEN gclid IS NOT NULL THEN '{fixed.CHANNEL_OF_CLICK}' END, {_map(fixed.CHANNEL_OF_SOURCE)}[lower(source)],
+  {_LABELS}[lower(medium)] || coalesce(' (' || CASE WHEN {_BEHIND}[lower(medium)] = 'yes' THEN lower(source) END || ')', ''),
+  lower(source) || coalesce(' (' || lower(medium) || ')', ''),
+  CASE WHEN regexp_matches(referrer, '{fixed.SEARCH_ENGINES}') THEN '{fixed.CHANNEL_OF_SEARCH} (' ELSE '{fixed.CHANNEL_OF_SITE} (' END || referrer || ')', '{fixed.CHANNEL_OF_NOTHING}')"""
 _NAMES = [*fixed.CAMPAIGN_PARAMETERS.values(), "referrer", "landingPage"]
 _QUOTED = ", ".join(f'"{n}"' for n in _NAMES)
 
@@ -224,9 +225,8 @@ def lead_scores(spark, d):
 
 @query(
     "E08_page_types",
-    """SELECT path, count(*) AS n, CASE WHEN root = '' THEN 'accueil' WHEN root = 'partenaires' THEN CASE WHEN more <> '' THEN 'partenaire_detail' ELSE 'partenaires_index' END
-       WHEN root IN ('estimation', 'rapport', 'carte', 'contact') THEN root WHEN root = 'pages' THEN 'page_libre' ELSE 'autre' END AS page_type
-       FROM (SELECT "landingPage" AS path, split_part("landingPage", '/', 2) AS root, split_part("landingPage", '/', 3) AS more FROM blocks) GROUP BY 1, 3""",
+    f"""SELECT path, count(*) AS n, coalesce(CASE WHEN more <> '' THEN {_map({k: v[1] for k, v in fixed.PAGE_TYPES.items()})}[root] ELSE {_map({k: v[0] for k, v in fixed.PAGE_TYPES.items()})}[root] END,
+       '{fixed.PAGE_TYPE_ELSE}') AS page_type FROM (SELECT "landingPage" AS path, split_part("landingPage", '/', 2) AS root, split_part("landingPage", '/', 3) AS more FROM blocks) GROUP BY 1, 3""",
 )
 def page_types(spark, d):
     path = ev.acquisition(F.col("href"), F.col("referrer"), SITE)["landingPage"]
@@ -312,7 +312,7 @@ def visible_fields(spark, d):
     return le.visible_fields(rows).select("request_id", "floor", "has_elevator", "outdoor", "condition", "terrain_size")
 
 
-_FORMS = """SELECT request_id, CASE WHEN request_id % 7 = 0 THEN '' WHEN request_id % 2 = 0 THEN '65,5' ELSE CAST(request_id AS STRING) END AS surface,
+_FORMS = """SELECT request_id, CASE WHEN request_id % 7 = 0 THEN '' WHEN request_id % 2 = 0 THEN '65,5' WHEN request_id % 3 = 0 THEN concat(' ', CAST(request_id AS STRING), ',50 m²') WHEN request_id % 5 = 0 THEN 'Infinity' ELSE CAST(request_id AS STRING) END AS surface,
   CASE request_id % 4 WHEN 0 THEN '3' WHEN 1 THEN '2.5' WHEN 2 THEN 'x' END AS rooms, CASE request_id % 3 WHEN 0 THEN '-1' WHEN 1 THEN '4' ELSE '' END AS floor,
   CASE request_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'unknown' ELSE '' END AS has_elevator, CASE WHEN request_id % 5 = 0 THEN '' ELSE dpe END AS dpe,
   CASE WHEN request_id % 6 = 0 THEN 'loft' ELSE property_type END AS property_type, coalesce(outdoor, '') AS outdoor, coalesce(condition, '') AS condition FROM {rows}"""
@@ -320,7 +320,7 @@ _FORMS = """SELECT request_id, CASE WHEN request_id % 7 = 0 THEN '' WHEN request
 
 @query(
     "C14_coerced_requests",
-    f"""SELECT request_id, TRY_CAST(replace(surface, ',', '.') AS DOUBLE) AS surface, CASE WHEN TRY_CAST(rooms AS DOUBLE) = floor(TRY_CAST(rooms AS DOUBLE)) THEN TRY_CAST(rooms AS DOUBLE)::INT END AS rooms,
+    f"""SELECT request_id, TRY_CAST(nullif(regexp_extract(replace(surface, ',', '.'), '^\\s*([0-9]+(\\.[0-9]*)?)', 1), '') AS DOUBLE) AS surface, CASE WHEN TRY_CAST(rooms AS DOUBLE) = floor(TRY_CAST(rooms AS DOUBLE)) THEN TRY_CAST(rooms AS DOUBLE)::INT END AS rooms,
         CASE WHEN TRY_CAST(floor AS DOUBLE) >= 0 THEN TRY_CAST(floor AS DOUBLE)::INT END AS floor, CASE has_elevator WHEN 'yes' THEN true WHEN 'no' THEN false END AS has_elevator,
         CASE WHEN dpe IN ('A','B','C','D','E','F','G','unknown') THEN dpe ELSE 'unknown' END AS dpe, CASE WHEN property_type <> 'loft' THEN property_type END AS property_type,
         nullif(outdoor, '') AS outdoor, nullif(condition, '') AS condition FROM ({_FORMS.format(rows='request_rows')})""",

@@ -15,25 +15,29 @@ def _short(c: Column) -> Column:
     return F.nullif(F.substring(F.trim(c), 1, fixed.CAMPAIGN_VALUE_MAX), F.lit(""))
 
 
+def _address(text: Column) -> Column:
+    """Host (small letters), path and query of a web address, by one tolerant pattern."""
+    part = lambda n: F.regexp_extract(text, fixed.WEB_ADDRESS, n)
+    return F.struct(F.lower(part(1)).alias("host"), part(2).alias("path"), part(3).alias("query"))
+
+
 def acquisition(href: Column, referrer: Column, site_host: str) -> Column:
     """Campaign parameters, landing path and outside referrer; null if nothing is known."""
-    known = F.try_parse_url(href, F.lit("HOST")).isNotNull()
+    names = [*fixed.CAMPAIGN_PARAMETERS.values(), "referrer", "landingPage"]
 
     def fields(query: Column) -> list[Column]:
-        return [
-            _short(F.try_url_decode(F.regexp_extract(query, f"(?:^|&){parameter}=([^&]*)", 1))).alias(name)
-            for parameter, name in fixed.CAMPAIGN_PARAMETERS.items()
-        ]
-
-    path = F.try_parse_url(href, F.lit("PATH"))
-    landing = F.when(known, _short(F.when(path == "", "/").otherwise(path))).alias("landingPage")
-    host = F.try_parse_url(referrer, F.lit("HOST"))
-    outside = F.when(host != site_host, _short(host)).alias("referrer")
-    names = [*fixed.CAMPAIGN_PARAMETERS.values(), "referrer", "landingPage"]
+        value = lambda name: F.regexp_extract(query, f"(?:^|&){name}=([^&]*)", 1)
+        return [_short(F.coalesce(F.try_url_decode(value(p)), value(p))).alias(n) for p, n in fixed.CAMPAIGN_PARAMETERS.items()]
+
+    def block(page: Column, origin: Column) -> Column:
+        landing = F.when(page["host"] != "", _short(F.when(page["path"] == "", "/").otherwise(page["path"]))).alias("landingPage")
+        outside = F.when(origin["host"] != site_host, _short(origin["host"])).alias("referrer")
+        return F.struct(*fields(page["query"]), outside, landing)
+
     anything = lambda b: reduce(lambda x, y: x | y, [b[n].isNotNull() for n in names])
-    # bound, so that each address is parsed once and not once per later use of a field
-    block = bind(F.try_parse_url(href, F.lit("QUERY")), lambda query: F.struct(*fields(query), outside, landing))
-    return bind(block, lambda b: F.when(anything(b), b))
+    # bound, so that each address is split once and not once per later use of a field
+    found = bind(F.struct(_address(href).alias("page"), _address(referrer).alias("origin")), lambda a: block(a["page"], a["origin"]))
+    return bind(found, lambda b: F.when(anything(b), b))
 
 
 def campaign_touch(block: Column) -> Column:
@@ -45,23 +49,26 @@ def campaign_touch(block: Column) -> Column:
     )
 
 
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for row in table.items() for x in row]), key)
+
+
 def channel(block: Column) -> Column:
-    source = F.lower(F.coalesce(block["source"], F.lit("")))
-    medium = F.lower(F.coalesce(block["medium"], F.lit("")))
-    named = lambda label: F.when(source != "", F.concat(F.lit(label + " ("), source, F.lit(")"))).otherwise(label)
+    """The first of: paid click, source, medium, any other source, referring host, nothing."""
+    source = F.nullif(F.lower(block["source"]), F.lit(""))
+    medium = F.nullif(F.lower(block["medium"]), F.lit(""))
     host = block["referrer"]
-    by_host = F.when(
-        host.rlike(fixed.SEARCH_ENGINES), F.concat(F.lit("Recherche naturelle ("), host, F.lit(")"))
-    ).otherwise(F.concat(F.lit("Site référent ("), host, F.lit(")")))
-    return (
-        F.when(block["gclid"].isNotNull(), "Google Ads")
-        .when(source.isin("meta", "facebook", "instagram") | (medium == "paid_social"), "Meta Ads")
-        .when(medium.isin("email", "e-mail", "newsletter"), named("E-mailing"))
-        .when(medium == "referral", named("Partenaire"))
-        .when(medium.isin("cpc", "ppc", "paid", "display"), named("Publicité"))
-        .when(source != "", F.when(medium != "", F.concat(source, F.lit(" ("), medium, F.lit(")"))).otherwise(source))
-        .when(host.isNotNull(), by_host)
-        .otherwise("Accès direct")
+    behind = lambda label, detail: F.concat(label, F.coalesce(F.concat(F.lit(" ("), detail, F.lit(")")), F.lit("")))
+    labels = {k: label for k, (label, _) in fixed.CHANNEL_OF_MEDIUM.items()}
+    named = {k: with_source for k, (_, with_source) in fixed.CHANNEL_OF_MEDIUM.items()}
+    of_host = F.when(host.rlike(fixed.SEARCH_ENGINES), fixed.CHANNEL_OF_SEARCH).otherwise(fixed.CHANNEL_OF_SITE)
+    return F.coalesce(
+        F.when(block["gclid"].isNotNull(), fixed.CHANNEL_OF_CLICK),
+        _looked_up(fixed.CHANNEL_OF_SOURCE, source),
+        behind(_looked_up(labels, medium), F.when(_looked_up(named, medium), source)),
+        behind(source, medium),
+        F.when(host.isNotNull(), behind(of_host, host)),
+        F.lit(fixed.CHANNEL_OF_NOTHING),
     )
 
 
@@ -84,12 +91,7 @@ def lead_quality(is_owner: Column, want_to_sell: Column) -> Column:
 
 
 def lead_value(is_owner: Column, want_to_sell: Column, price: Column) -> Column:
-    sell = _said(want_to_sell)
-    factors = list(fixed.LEAD_SELL_FACTORS.items())
-    willing = F.when(sell == factors[0][0], factors[0][1])
-    for answer, factor in factors[1:]:
-        willing = willing.when(sell == answer, factor)
-    willing = willing.otherwise(fixed.LEAD_SELL_FACTORS["no"])
+    willing = F.coalesce(_looked_up(fixed.LEAD_SELL_FACTORS, _said(want_to_sell)), F.lit(fixed.LEAD_SELL_FACTORS["no"]))
     quality = F.when(_said(is_owner) == "yes", willing).otherwise(fixed.LEAD_NOT_OWNER_FACTOR)
     size = F.when(price > 0, F.least(F.lit(fixed.LEAD_PRICE_FACTOR_MAX), price / fixed.LEAD_PRICE_UNIT)).otherwise(1.0)
     return half_up_decimals(fixed.LEAD_BASE_VALUE * quality * size, 2)
@@ -100,15 +102,12 @@ def contact_value(subject: Column) -> Column:
 
 
 def page_type(path: Column) -> Column:
+    """By the first segment of the path, and whether there are more."""
     parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda s: s != "")
-    root = F.try_element_at(parts, F.lit(1))
-    return (
-        F.when(F.size(parts) == 0, "accueil")
-        .when(root == "partenaires", F.when(F.size(parts) > 1, "partenaire_detail").otherwise("partenaires_index"))
-        .when(root.isin("estimation", "rapport", "carte", "contact"), root)
-        .when(root == "pages", "page_libre")
-        .otherwise("autre")
-    )
+    root = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
+    alone, below = ({k: v[i] for k, v in fixed.PAGE_TYPES.items()} for i in (0, 1))
+    found = F.when(F.size(parts) > 1, _looked_up(below, root)).otherwise(_looked_up(alone, root))
+    return F.coalesce(found, F.lit(fixed.PAGE_TYPE_ELSE))
 
 
 def clean_parameters(parameters: Column) -> Column:

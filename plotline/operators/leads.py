@@ -190,7 +190,8 @@ def visible_fields(requests: DataFrame) -> DataFrame:
 
 def coerced_requests(forms: DataFrame) -> DataFrame:
     """Typed request fields from the text a form sends."""
-    number = lambda name: F.replace(F.trim(name), F.lit(","), F.lit(".")).try_cast("double")
+    # the number a text begins with; what follows it does not matter
+    number = lambda name: F.regexp_extract(F.replace(name, F.lit(","), F.lit(".")), fixed.LEADING_NUMBER, 1).try_cast("double")
     whole = lambda name: F.when(number(name) == F.floor(number(name)), number(name).cast("int"))
     listed = lambda name, allowed: F.when(F.col(name).isin(allowed), F.col(name))
     return forms.withColumns(

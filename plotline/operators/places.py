@@ -94,7 +94,7 @@ def department_with_corsica(postcode: Column) -> Column:
 
 def region_of(department: Column) -> Column:
     """Region slug of a department; null for an unmapped code."""
-    pairs = [F.lit(x) for region, codes in fixed.REGION_DEPARTMENTS.items() for code in codes.split() for x in (code, region)]
+    pairs = [F.lit(x) for row in fixed.DEPARTMENT_REGIONS.items() for x in row]
     return F.try_element_at(F.create_map(*pairs), department)
 
 

@@ -150,9 +150,10 @@ SELECT event_id, user_id AS session_id, CAST(ts AS TIMESTAMP) AS ts, event_type,
               WHEN event_id % 11 = 2 THEN '?utm_medium=email&utm_source=lettre'
               WHEN event_id % 11 = 3 THEN '?utm_medium=referral'
               WHEN event_id % 11 = 4 THEN '?utm_term=maison&utm_content=%20'
+              WHEN event_id % 11 = 5 THEN concat('?utm_source=a b&utm_campaign=x|y_', CAST(event_id % 3 AS STRING))
               ELSE '' END) AS href,
        CASE event_id % 7 WHEN 0 THEN 'https://www.google.com/search?q=x' WHEN 1 THEN 'https://blog.example.org/a'
-            WHEN 2 THEN 'https://site.example/estimation/' WHEN 3 THEN 'not a url' ELSE '' END AS referrer,
+            WHEN 2 THEN 'https://SITE.example/estimation/' WHEN 3 THEN 'not a url' WHEN 4 THEN 'https://my_blog.Example:8080/z' ELSE '' END AS referrer,
        concat('10.0.', CAST(user_id % 256 AS STRING), '.', CAST(event_id % 3 AS STRING)) AS ip,
        CASE WHEN event_id % 9 = 0 THEN '' ELSE concat('agent/', CAST(event_id % 5 AS STRING)) END AS user_agent
 FROM {events}
