@@ -57,10 +57,20 @@ def read_sale_files(spark, d):
     return lines.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _TEXT])
 
 
-@query("S02_header_problems")
+@query(
+    "S02_header_problems",
+    """SELECT 'nation=' || n_nationkey AS file, CASE n_nationkey % 5 WHEN 1 THEN 'column_names' WHEN 2 THEN 'column_count' ELSE 'column_names' END AS problem
+       FROM nation WHERE n_nationkey % 5 IN (1, 2, 3)""",
+)
 def header_problems(spark, d):
-    """No row: every file written above carries the expected header."""
-    return fi.header_problems(spark, _sale_files(spark, d))
+    """One file for each nation: a good header, with two names swapped, short of one, in capitals, or after a byte-order mark."""
+    path, names = _folder(spark, "headers"), fixed.SALE_LINE_COLUMNS
+    swapped = [*names[:-2], names[-1], names[-2]]
+    kinds = [names, swapped, names[:-1], [n.upper() for n in names], ["\ufeff" + names[0], *names[1:]]]
+    header = F.element_at(F.array(*[F.lit(",".join(k)) for k in kinds]), F.col("n_nationkey").cast("int") % 5 + 1)
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("nation"), F.concat(header, F.lit("\n"), F.repeat(F.lit(","), len(names) - 1)).alias("value"))
+    rows.repartition("nation").write.partitionBy("nation").text(path)
+    return fi.header_problems(spark, path).select(F.regexp_extract("file", "nation=\\d+", 0).alias("file"), "problem")
 
 
 @query("U06_file_checksums")
@@ -156,17 +166,27 @@ def written_table(spark, d):
 _STORED = """dedup_key, date_mutation::VARCHAR AS date_mutation, type_local, surface_bati, surface_terrain, prix_m2::DOUBLE AS prix_m2, is_outlier"""
 
 
-@query("T05_ingested_files", f"SELECT {_STORED} FROM sales UNION ALL SELECT {_STORED} FROM land")
-def ingested_files(spark, d):
+def _ingested(spark, d, files_per_batch):
     """Both sale tables after the stream has imported every file."""
     built, land = _folder(spark, "built"), _folder(spark, "land")
-    ingest(spark, _sale_files(spark, d), built, land, 2001, _folder(spark, "ingest-state"))
+    ingest(spark, _sale_files(spark, d), built, land, 2001, _folder(spark, "ingest-state"), files_per_batch)
     rows = spark.read.parquet(built).unionByName(spark.read.parquet(land)).select(
         "dedup_key", "date_mutation", "type_local", "surface_bati", "surface_terrain", "prix_m2", "is_outlier"
     )
     return cs.plain(rows, ["date_mutation"], ["prix_m2"])
 
 
+@query("T05_ingested_files", f"SELECT {_STORED} FROM sales UNION ALL SELECT {_STORED} FROM land")
+def ingested_files(spark, d):
+    return _ingested(spark, d, 200)
+
+
+@query("T05_ingested_file_by_file", f"SELECT {_STORED} FROM sales UNION ALL SELECT {_STORED} FROM land")
+def ingested_file_by_file(spark, d):
+    """The same with one file in each micro-batch."""
+    return _ingested(spark, d, 1)
+
+
 # --- Logs -------------------------------------------------------------------
 
 part("by_department", """

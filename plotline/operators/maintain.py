@@ -25,16 +25,19 @@ def upsert_counts(target: DataFrame, batch: DataFrame, keys: list[str] = KEYS) -
     )
 
 
-def merge_import(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Upsert, then mark what the same department and vintage no longer contains.
+SCOPE = ["code_departement", "source_annee"]
 
-    A row kept again carries the batch's own mark, so marks heal themselves.
-    The vintage keeps older years out of reach.
+
+def merge_import(target: DataFrame, batch: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Upsert, then mark what the imported departments and vintages no longer contain.
+
+    ``scope`` names the departments and vintages that the import covers, also
+    those of which no sale was kept; without it, those of the batch.  A row kept
+    again carries the batch's own mark, so marks heal themselves.  The vintage
+    keeps older years out of reach.
     """
-    scope = batch.select("code_departement", "source_annee").distinct().withColumn("in_scope", F.lit(True))
-    untouched = target.join(batch.select(*KEYS), KEYS, "left_anti").join(
-        scope, ["code_departement", "source_annee"], "left"
-    )
+    scope = (batch if scope is None else scope).select(*SCOPE).distinct().withColumn("in_scope", F.lit(True))
+    untouched = target.join(batch.select(*KEYS), KEYS, "left_anti").join(scope, SCOPE, "left")
     stale = F.coalesce(F.col("in_scope"), F.lit(False))
     marked = untouched.withColumns(
         {
@@ -45,32 +48,28 @@ def merge_import(target: DataFrame, batch: DataFrame) -> DataFrame:
     return marked.select(*batch.columns).unionByName(batch)
 
 
-def write_import(target_path: str, batch: DataFrame) -> DataFrame:
-    """Merge a batch into a table partitioned by sale year; returns one row of counts.
+def write_import(target_path: str, batch: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Merge an import into a table partitioned by sale year; returns one row of counts.
 
     Only the years of the batch, or of rows its scope may mark, are read and
     rewritten.  The result is settled first because it replaces its source.
     """
     spark = batch.sparkSession
     batch = settle(batch.withColumn("annee", F.year("date_mutation")))
+    scope = settle((batch if scope is None else scope).select(*SCOPE).distinct())
     try:
         target = spark.read.parquet(target_path)
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        batch.write.partitionBy("annee").parquet(target_path)
+        _by_year(batch).write.partitionBy("annee").parquet(target_path)
         return batch.agg(F.count("*").alias("inserted")).select(
             "inserted", F.lit(0).cast("long").alias("updated"), F.lit(0).cast("long").alias("stale_marked")
         )
-    scope = batch.select("code_departement", "source_annee").distinct()
-    years = (
-        batch.select("annee")
-        .union(target.join(scope, ["code_departement", "source_annee"], "left_semi").select("annee"))
-        .distinct()
-    )
+    years = batch.select("annee").union(target.join(scope, SCOPE, "left_semi").select("annee")).distinct()
     touched = [row.annee for row in years.collect()]  # a handful of calendar years
     current = target.filter(F.col("annee").isin(touched))
-    merged = settle(merge_import(current, batch))
+    merged = settle(merge_import(current, batch, scope))
     fresh = current.filter(~F.col("exclusion_reason").eqNullSafe(STALE)).select(*KEYS)
     marked = merged.filter(F.col("exclusion_reason") == STALE).join(fresh, KEYS, "left_semi")
     counts = settle(
@@ -78,10 +77,15 @@ def write_import(target_path: str, batch: DataFrame) -> DataFrame:
             "inserted", "updated", marked.agg(F.count("*")).scalar().alias("stale_marked")
         )
     )
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("annee").parquet(target_path)
+    _by_year(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("annee").parquet(target_path)
     return counts
 
 
+def _by_year(rows: DataFrame, files: int = 16) -> DataFrame:
+    """At most ``files`` files for a year instead of one from every task."""
+    return rows.repartition("annee", F.pmod(F.xxhash64(*KEYS), F.lit(files)))
+
+
 # --- Import log -------------------------------------------------------------
 
 

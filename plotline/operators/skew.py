@@ -11,10 +11,11 @@ def slice_hot_keys(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Make both sides of an equi-join safe against hot keys.
 
-    A key with more rows than ``rows_per_slice`` on a side is cut into slices
-    on that side and repeated for them on the other, so one task meets at most
-    ``rows_per_slice`` rows of each side for a key.  Every pair still meets
-    exactly once.  Nothing is repeated when no key is hot.
+    Every key has as many slices on a side as its rows there need; it is cut
+    into them on that side and repeated for them on the other, so one task
+    meets at most ``rows_per_slice`` rows of each side for a key.  Every pair
+    still meets exactly once.  Most keys have one slice, and the small table of
+    those with more is the only thing joined on.
     """
     per_left = left.groupBy(*keys).agg(F.count("*").alias("rows_left"))
     per_right = right.groupBy(*keys).agg(F.count("*").alias("rows_right"))
@@ -27,8 +28,6 @@ def slice_hot_keys(
             F.ceil(F.col("rows_right") / rows_per_slice).cast("int").alias("right_slices"),
         )
     )
-    if hot.isEmpty():
-        return left, right, keys
 
     def cut(df, own_id, own, own_slices, other, other_slices):
         own_n, other_n = F.coalesce(own_slices, F.lit(1)), F.coalesce(other_slices, F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,12 +45,16 @@ _private_folder: list[str] = []
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a private folder
-    made, because then driver and executors share one machine.
+    A session on a single machine (tests, a laptop) that names none gets a
+    private folder, because there driver and executors share the disk; a
+    cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _private_folder:
         _private_folder.append(tempfile.mkdtemp(prefix="plotline-checkpoint-"))
     return _private_folder[0]
