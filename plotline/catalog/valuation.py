@@ -111,7 +111,7 @@ part("reference_valued", f"""
   SELECT *, {_step('value / surface')} AS price_m2, {_display('(value * (1 - 0.2::DOUBLE))')} AS low, {_display('(value * (1 + 0.2::DOUBLE))')} AS high,
     least(35, 100 - penalties) AS score FROM v""")
 part("all_valued", f"""
-  SELECT l.request_id, coalesce(v.kind, 'not-supported') AS kind, v.value, v.price_m2, v.low, v.high, coalesce(v.score, 0) AS score, v.k_total, v.level
+  SELECT l.request_id, coalesce(v.kind, 'not-supported') AS kind, v.value, v.price_m2, coalesce(v.low, 0) AS low, coalesce(v.high, 0) AS high, coalesce(v.score, 0) AS score, v.k_total, v.level
   FROM located l LEFT JOIN (
     SELECT request_id, 'comparables' AS kind, value, price_m2, low, high, score, k_total, level FROM valued
     UNION ALL SELECT request_id, 'reference-table', value, price_m2, low, high, score, k_total, NULL FROM reference_valued) v USING (request_id)""")
@@ -388,10 +388,12 @@ _LOGGED = """SELECT request_id, property_type, surface, concat('10.1.', CAST(req
 
 @query(
     "S10_anonymous_log",
-    f"""SELECT coalesce(l.city_code, l.code_insee) AS code_insee, CASE WHEN left(coalesce(l.city_code, l.code_insee), 2) IN ('97', '98') THEN left(coalesce(l.city_code, l.code_insee), 3)
-        ELSE left(coalesce(l.city_code, l.code_insee), 2) END AS code_departement, l.property_type AS type_bien, floor(l.surface + 0.5)::INT AS surface, v.kind AS method_kind,
-        v.level AS method_level, v.score AS confidence, v.low AS value_low, v.value AS value_mid, v.high AS value_high, v.price_m2,
-        CASE WHEN l.request_id % 5 <> 0 THEN sha256('agent') END AS ua_hash FROM located l JOIN all_valued v USING (request_id)""",
+    f"""WITH p AS (SELECT l.*, v.* EXCLUDE (request_id), CASE WHEN v.kind = 'not-supported' THEN l.city_code ELSE coalesce(l.city_code, l.code_insee) END AS code
+          FROM located l JOIN all_valued v ON v.request_id = l.request_id)
+        SELECT code AS code_insee, coalesce(CASE WHEN left(code, 2) IN ('97', '98') THEN left(code, 3) ELSE left(code, 2) END, {places._DEP_POSTCODE.format('postal_code')}) AS code_departement,
+        property_type AS type_bien, floor(surface + 0.5)::INT AS surface, kind AS method_kind,
+        level AS method_level, score AS confidence, CASE WHEN value IS NOT NULL THEN low END AS value_low, value AS value_mid, CASE WHEN value IS NOT NULL THEN high END AS value_high, price_m2,
+        CASE WHEN request_id % 5 <> 0 THEN sha256('agent') END AS ua_hash FROM p""",
 )
 def anonymous_log(spark, d):
     p = portfolio(spark, d)

@@ -32,36 +32,39 @@ def breaches(requests: DataFrame, scope: str, limit: int, duration: str, latenes
 
 
 ATTRIBUTION = "session_id long, block string, campaign boolean, updated_at timestamp"
-_STATE = "block string, campaign boolean, at timestamp, event long"
+_STATE = "paid_block string, paid_at timestamp, paid_event long, first_block string, first_at timestamp, first_event long, seen_at timestamp"
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _follower(gap_ms: int):
     """Last campaign wins, by event time; without one the first touch stays."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held = state.get if state.exists else None
-    for batch in batches:
-        for row in batch.sort_values(["ts", "event_id"]).itertuples():
-            new = (row.block, bool(row.campaign), row.ts.to_pydatetime(), int(row.event_id))
-            if held is None:
-                held = new
-                continue
-            later = (new[2], new[3]) > (held[2], held[3])
-            if new[1] == held[1]:
-                held = new if later == new[1] else held
-            elif new[1]:
-                held = new
-    if held is not None:
-        state.update(held)
-        state.setTimeoutTimestamp(int(held[2].timestamp() * 1000) + 24 * 3600 * 1000)
-        yield pd.DataFrame(
-            {"session_id": [key[0]], "block": [held[0]], "campaign": [held[1]], "updated_at": [held[2]]}
-        )
-
 
-def attribution(hits: DataFrame, site_host: str, lateness: str = "1 day") -> DataFrame:
-    """Running attribution of each session; state expires a day after its last change."""
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
+        paid, first, seen = rows[rows["campaign"]].tail(1), rows.head(1), rows["ts"].max().to_pydatetime()
+        picked = lambda part: (part["block"].iloc[0], part["ts"].iloc[0].to_pydatetime(), int(part["event_id"].iloc[0]))
+        paid = picked(paid) if len(paid) else (None, None, None)
+        first = picked(first)
+        if state.exists:
+            held = state.get
+            if held[0] is not None and (paid[0] is None or held[1:3] > paid[1:]):
+                paid = held[:3]
+            first = min(first, held[3:6], key=lambda x: x[1:])
+            seen = max(seen, held[6])
+        state.update((*paid, *first, seen))
+        # The session ends after so long without a touch; a late one is kept until the watermark passes it.
+        due = int(seen.timestamp() * 1000) + gap_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        block, at, _ = paid if paid[0] is not None else first
+        yield pd.DataFrame({"session_id": [key[0]], "block": [block], "campaign": [paid[0] is not None], "updated_at": [at]})
+
+    return follow
+
+
+def attribution(hits: DataFrame, site_host: str, lateness: str = "1 day", inactivity_hours: float = 24) -> DataFrame:
+    """Running attribution of each session; it ends after ``inactivity_hours`` without a touch."""
     block = ev.acquisition(F.col("href"), F.col("referrer"), site_host)
     touches = (
         hits.withColumn("parsed", block)
@@ -73,7 +76,7 @@ def attribution(hits: DataFrame, site_host: str, lateness: str = "1 day") -> Dat
         .withWatermark("ts", lateness)
     )
     return touches.groupBy("session_id").applyInPandasWithState(
-        _follow, ATTRIBUTION, _STATE, "update", GroupStateTimeout.EventTimeTimeout
+        _follower(int(inactivity_hours * 3_600_000)), ATTRIBUTION, _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
