@@ -86,6 +86,7 @@ def _load() -> None:
         sales,
         second_wave,
         valuation,
+        written,
     )
 
 

@@ -63,7 +63,8 @@ def contact_export(contacts: DataFrame) -> DataFrame:
 
 
 def write_contacts(contacts: DataFrame, path: str) -> None:
-    contact_export(contacts).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    kept = contact_export(contacts).write.mode("overwrite").option("sep", ";").option("header", True)
+    kept.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 # --- Quotas -----------------------------------------------------------------
@@ -94,6 +95,26 @@ def quota_breaches(requests: DataFrame, scope: str, limit: int, duration: str) -
     )
 
 
+def allowance_breaches(requests: DataFrame, allowances: DataFrame) -> DataFrame:
+    """Clients over the allowance of each scope, per tumbling window of its length.
+
+    ``requests``: scope, client, ts; ``allowances``: scope, requests, duration
+    (a whole number of seconds to days).  The windows of all lengths are counted
+    in one pass.
+    """
+    unit = F.create_map(*[F.lit(x) for row in fixed.DURATION_SECONDS.items() for x in row])
+    parts = F.split(F.trim("duration"), r"\s+")
+    length = F.element_at(parts, 1).try_cast("long") * F.try_element_at(unit, F.rtrim(F.element_at(parts, -1), F.lit("s")))
+    limits = allowances.select("scope", F.col("requests").alias("allowed"), "duration", length.alias("seconds")).where("seconds > 0")
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / F.col("seconds")) * F.col("seconds"))
+    return (
+        requests.join(limits, "scope")
+        .groupBy("scope", "duration", "allowed", "client", start.alias("window_start"))
+        .agg(F.count("*").alias("requests"))
+        .filter(F.col("requests") > F.col("allowed"))
+    )
+
+
 def scraping_days(
     requests: DataFrame, floor: int = fixed.SCRAPING_REQUESTS_PER_DAY, clients: int = fixed.SCRAPING_MAX_CLIENTS
 ) -> DataFrame:

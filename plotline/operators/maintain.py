@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline import fixed_values as fixed
@@ -177,6 +177,23 @@ def split_retention(rows: DataFrame, expired: Column) -> tuple[DataFrame, DataFr
     return rows.filter(~F.coalesce(expired, F.lit(False))), rows.filter(expired).agg(F.count("*").alias("total"))
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Add rows to a log; a log is only ever appended to, or rewritten by retention."""
+    rows.write.mode("append").parquet(path)
+
+
+def apply_retention(spark: SparkSession, path: str, expired: Column) -> int:
+    """Rewrite a log without its expired rows; returns how many went.
+
+    The rows to keep are settled first because they replace their source.
+    """
+    rows = spark.read.parquet(path)
+    kept, dropped = split_retention(rows, expired)
+    kept, gone = settle(kept), dropped.first()["total"]
+    kept.write.mode("overwrite").parquet(path)
+    return gone
+
+
 def log_expired(today: str, months: int = 12) -> Column:
     return F.col("created_at") < F.add_months(F.lit(today).cast("date"), -months)
 
