@@ -148,14 +148,14 @@ def chosen(spark, d):
 @query(
     "J01_J15_sale_distances",
     f"""SELECT s.sale_id, s.city, {geo.distance_sql('c.longitude', 'c.latitude', 's.longitude', 's.latitude')} AS to_centre
-        FROM market_sales s JOIN communes c USING (code_insee)""",
+        FROM market_sales s LEFT JOIN communes c ON c.code_insee = s.code_insee""",
 )
 def sale_distances(spark, d):
     centre = sm.communes(spark, d).select(
         "code_insee", F.col("longitude").alias("c_lon"), F.col("latitude").alias("c_lat")
     )
     metres = geo.distance_m(F.col("c_lon"), F.col("c_lat"), F.col("longitude"), F.col("latitude"))
-    return market(spark, d)["sales"].join(centre, "code_insee").select("sale_id", "city", metres.alias("to_centre"))
+    return market(spark, d)["sales"].join(centre, "code_insee", "left").select("sale_id", "city", metres.alias("to_centre"))
 
 
 @query(

@@ -348,3 +348,34 @@ def unexpected_columns(spark, d):
         )
     )
     return rows.select("lead_row", F.explode(filled).alias("e")).select("lead_row", "e.*")
+
+
+@query(
+    "C09_unexpected_fields",
+    """SELECT lead_row, 'property.colour' AS field, 'unknown_field' AS rule FROM lead_rows WHERE status = 'ok' UNION ALL
+       SELECT lead_row, 'acquisition.phone', 'forbidden_pii' FROM lead_rows WHERE phone IS NOT NULL""",
+)
+def unexpected_fields(spark, d):
+    """Rows that fill a field inside a struct that the lead layout does not know."""
+    rows = sm.leads(spark, d).select(
+        "lead_row", "kind", F.struct("surface", F.when(F.col("status") == "ok", "blue").alias("colour")).alias("property"),
+        F.struct(F.lit("x").alias("source"), "phone").alias("acquisition"),
+    )
+    found = le.unexpected_fields(rows.drop("lead_row"), fixed.LEAD_LAYOUT, ["email", "phone", "name"])
+    filled = F.array_compact(
+        F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("field"), F.lit(r).alias("rule"))) for n, r in found])
+    )
+    return rows.select("lead_row", F.explode(filled).alias("e")).select("lead_row", "e.*")
+
+
+_BUSY = """SELECT date_trunc('month', CAST(ts AS TIMESTAMP)) AS ts, user_id % 10 AS client FROM {events}"""
+
+
+@query(
+    "T04_scraping_days_default",
+    f"""SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS requests, count(DISTINCT client) AS clients FROM ({_BUSY.format(events='events')})
+        GROUP BY 1 HAVING count(*) > {fixed.SCRAPING_REQUESTS_PER_DAY} AND count(DISTINCT client) < {fixed.SCRAPING_MAX_CLIENTS}""",
+)
+def scraping_days_default(spark, d):
+    """The settings' own limits, with every call of a month on its first day."""
+    return le.scraping_days(sm.on_spark(spark, d, _BUSY)).withColumn("day", F.col("day").cast("string"))

@@ -18,8 +18,8 @@ from plotline.sources import sample_market as sm
 
 TODAY = sm.REFERENCE_DATE
 
-_INDICES = """SELECT concat('1', CAST(o_orderkey % 4 AS STRING)) AS code_region, CASE o_orderkey % 3 WHEN 0 THEN 'appartement' WHEN 1 THEN 'maison' ELSE 'all' END AS type_bien,
-  CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, 100 + CAST(count(*) AS DOUBLE) / 1e1 AS value FROM {orders} WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3
+_INDICES = """SELECT concat(CASE WHEN o_orderstatus = 'P' THEN '9' ELSE '1' END, CAST(o_orderkey % 4 AS STRING)) AS code_region, CASE o_orderkey % 3 WHEN 0 THEN 'appartement' WHEN 1 THEN 'maison' ELSE 'all' END AS type_bien,
+  CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, 100 + CAST(count(*) AS DOUBLE) / 1e1 AS value FROM {orders} GROUP BY 1, 2, 3
   UNION ALL SELECT 'FR', CASE WHEN o_orderkey % 2 = 0 THEN 'maison' ELSE 'all' END, CAST(date_trunc('quarter', o_orderdate) AS DATE), 100 + CAST(count(*) AS DOUBLE) / 1e1 FROM {orders} GROUP BY 1, 2, 3"""
 part("index_rows", _INDICES.format(orders="orders"))
 part("index_last", "SELECT code_region, type_bien, max_by(value, quarter) AS last_value FROM index_rows GROUP BY 1, 2")

@@ -239,3 +239,16 @@ def unexpected_columns(df: DataFrame, allowed: list[str], personal: list[str] =
         for name in df.columns
         if name not in allowed
     ]
+
+
+def unexpected_fields(df: DataFrame, layout: dict[str, list[str]], personal: list[str] = ()) -> list[tuple[str, str]]:
+    """Columns and struct fields outside the layout, by their dotted names.
+
+    ``layout`` lists the fields allowed at the top ("") and in each struct.
+    Reads the schema only.
+    """
+    found = unexpected_columns(df, layout[""], personal)
+    for field in df.schema.fields:
+        if field.name in layout and hasattr(field.dataType, "fields"):
+            found += unexpected_columns(df.select(f"{field.name}.*"), layout[field.name], personal, f"{field.name}.")
+    return found

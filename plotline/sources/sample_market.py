@@ -124,9 +124,9 @@ SELECT c_custkey AS request_id,
 FROM {{customer}}
 """
 
-#: Resolved addresses: some stale, some too vague, some missing.
+#: Resolved addresses: some stale, some too vague, some of another street than was asked for.
 ADDRESSES = f"""
-SELECT concat(CAST(c_custkey % 90 + 1 AS STRING), ' rue ', c_mktsegment) AS address,
+SELECT concat(CAST(c_custkey % 90 + 1 AS STRING), ' rue ', c_mktsegment, CASE WHEN c_custkey % 3 = 2 THEN ' prolongee' ELSE '' END) AS address,
        {_C['postcode']} AS postal_code,
        concat(CASE {_C['k']} % 4 WHEN 0 THEN 'Evry-sur-' WHEN 1 THEN 'saint ' WHEN 2 THEN 'Le ' ELSE 'Chateau ' END,
               'Vallee ', CAST({_C['block']} % 25 AS STRING), ' ', CAST({_C['k']} AS STRING)) AS city,
@@ -137,7 +137,7 @@ SELECT concat(CAST(c_custkey % 90 + 1 AS STRING), ' rue ', c_mktsegment) AS addr
        CAST(c_custkey % 11 AS DOUBLE) / 1e1 AS score,
        CASE c_custkey % 4 WHEN 0 THEN 'housenumber' WHEN 1 THEN 'street' WHEN 2 THEN 'municipality' ELSE 'housenumber' END AS result_type,
        CAST(CASE WHEN c_custkey % 13 = 0 THEN '2001-07-31' ELSE '2001-10-30' END AS DATE) AS expires_on
-FROM {{customer}} WHERE c_custkey % 3 <> 2
+FROM {{customer}}
 """
 
 #: Web hits: one per event, with an arrival address and a referrer.
