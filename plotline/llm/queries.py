@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import chat, decontaminate, html_pages, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
+from plotline.llm import chat, checks, decontaminate, html_pages, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op2_feistel_shards")
+@query("op2_feistel_shards", checks.feistel_shards(16, sharding.round_keys(2024), sharding.MIX_A, sharding.MIX_B, sharding.MODULUS))
 def feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"))
     return placed.select(
@@ -49,10 +49,10 @@ def markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
 
 
-@query("op4_benchmark_windows")
+@query("op4_benchmark_windows", checks.BENCHMARK_WINDOWS)
 def benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 @query("op8_piece_encoding")
@@ -61,7 +61,7 @@ def piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), lists=False).drop("text")
 
 
-@query("op7_jaccard_classes")
+@query("op7_jaccard_classes", checks.JACCARD_CLASSES)
 def jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.classes(table(spark, folder, "documents"), words=4, percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
