@@ -311,7 +311,6 @@ def area_samples(
         .drop("n")
         .withColumn("bin", _surface_bin(F.col("sale_surface")))
     )
-    offers = settle(offers)  # read twice: for the histogram and for the samples
     histogram = offers.groupBy(*area, "bin").agg(
         F.count("*").alias("n"), F.min("sale_surface").alias("smallest"), F.max("sale_surface").alias("largest")
     )
