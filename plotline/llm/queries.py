@@ -76,7 +76,7 @@ def partial_matching(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_kneser_ney_quality")
 def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return found.select(F.col("key").alias("doc_id"), "lang", "symbols", "perplexity", "threshold", "keep")
+    return found.select(F.col("key").alias("doc_id"), "lang", "symbols", "perplexity", "threshold", "passage", "passage_threshold", "keep")
 
 
 @query("op6_projected_neighbours")
