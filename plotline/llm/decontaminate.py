@@ -22,7 +22,8 @@ BLOCK_BYTES = 32 << 20
 
 def windows(text: str | None, size: int) -> list[str]:
     """The word windows of an item, each between two blanks."""
-    words = (text or "").encode().translate(NORMAL).decode().split()
+    # Bytes: str.split would cut at blanks beyond ASCII too, which are parts of words.
+    words = [word.decode() for word in (text or "").encode().translate(NORMAL).split()]
     count = max(1, len(words) - size + 1) if words else 0
     return [f" {' '.join(words[i : i + size])} " for i in range(count)]
 
@@ -45,7 +46,7 @@ def _automaton(items: list[tuple[str, str | None]], size: int):
 def _hits(automaton, raw: bytes, before: list[int], names: set[str]) -> tuple[int, list[int], list[int]]:
     """Word count, merged word intervals (flat), and those in code points of the original."""
     normal = raw.translate(NORMAL)
-    line = f" {' '.join(normal.decode().split())} "
+    line = f" {b' '.join(normal.split()).decode()} "
     words = line.count(" ") - 1 if len(line) > 2 else 0
     found = [(before[i], before[i + 1]) for i in range(0, len(before), 2)]
     blanks = None

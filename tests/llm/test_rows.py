@@ -131,6 +131,17 @@ def test_contamination_against_brute_force(spark, block_bytes):
         assert covered == hit
 
 
+@pytest.mark.parametrize("blank", ["\u00a0", "\u3000", "\u0085", "\u2003", "\u2028"])
+def test_blanks_beyond_ascii_are_parts_of_words(spark, blank):
+    item = " ".join("abcdefghijkl")
+    texts = [f"x{blank}y {item}", f"x y {item.replace('f g', f'f{blank}g')}", f"{blank} {item}", f"x y {item[:-2]}{blank}l"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, f"p{blank}q")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert [(got[i].n_words, got[i].n_hit, got[i].contaminated) for i in range(4)] == [(13, 12, True), (13, 0, False), (13, 12, True), (13, 10, True)]
+    assert [texts[i][b:e] for i in (0, 2, 3) for b, e in [got[i].hit_spans]] == [item, item, " ".join("abcdefghij")]
+
+
 def test_contamination_of_the_tables_and_odd_rows(spark, odd):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     want = texts(spark)
