@@ -33,7 +33,16 @@ INLINE = {
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of a class, id or role that mark an element as not part of the text.
+#: Elements that hold the page or its text: hints on them do not count.
+HOLDERS = {"html", "body"} | CONTENT
+#: Raw elements in which nothing is markup; the others, left open, end at the next of these blocks.
+OPAQUE = {"script", "style", "textarea", "title"}
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "tbody", "td",
+    "tfoot", "th", "thead", "tr", "ul",
+}
+#: Words of a class, id or role, alone or as its last part, that mark an element as not part of the text.
 HINTS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "cookie", "cookies",
     "disclaimer", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related",
@@ -44,10 +53,24 @@ OPEN, INSIDE, OUTSIDE = "open", "inside", "outside"
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.S)
 _HINT = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 
 
 def _hinted(attributes: str) -> bool:
-    return any(part.lower() in HINTS for m in _HINT.finditer(attributes) for value in m.groups() if value for part in _PART.findall(value))
+    tokens = (token for m in _HINT.finditer(attributes) for value in m.groups() if value for token in value.split())
+    return any(part.lower() in HINTS for token in tokens for part in _PART.findall(token)[-1:])
+
+
+def _closed(page: str, name: str) -> dict[int, int]:
+    """Where each closed element of this name starts, and where its end tag stops."""
+    found, starts = {}, []
+    for tag in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>", page, re.I):
+        if not tag[1]:
+            if not tag[0].endswith("/>"):
+                starts.append(tag.start())
+        elif starts:
+            found[starts.pop()] = tag.end()
+    return found
 
 
 def lines(page: str) -> list[tuple[str, str]]:
@@ -56,6 +79,7 @@ def lines(page: str) -> list[tuple[str, str]]:
     # Open block elements: name, and the state its end restores.
     stack: list[tuple[str, str]] = []
     state, at = OPEN, 0
+    closed: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         text = " ".join(references.unescape("".join(held)).split()) if held else ""
@@ -86,8 +110,14 @@ def lines(page: str) -> list[tuple[str, str]]:
             continue
         close()
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name in OPAQUE:
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            elif not token[3].endswith("/"):
+                if name not in closed:
+                    closed[name] = _closed(page, name)
+                end = _BLOCK.search(page, at)
+                at = closed[name].get(token.start()) or (end.start() if end else len(page))
             continue
         if stack and (stack[-1][0] == "p" and name not in INLINE and name != "br" or name == "li" == stack[-1][0]):
             state = stack.pop()[1]
@@ -95,7 +125,7 @@ def lines(page: str) -> list[tuple[str, str]]:
             continue
         stack.append((name, state))
         if state != OUTSIDE:
-            if name in BOILERPLATE or token[3] and _hinted(token[3]):
+            if name in BOILERPLATE or token[3] and name not in HOLDERS and _hinted(token[3]):
                 state = OUTSIDE
             elif name in CONTENT:
                 state = INSIDE

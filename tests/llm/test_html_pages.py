@@ -23,6 +23,28 @@ def test_blocks_and_states():
     assert html_pages.lines("") == [] and html_pages.lines("<") == [("<", "open")]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='nav-open'><body class='has-sidebar'><article class='post header-large'><p>one<p>two</article>",
+        "<body id=menu><main role=banner><div class='header-large'><p>one</div><p>two</main>",
+        "<article><p>one</p><svg width='1'/><iframe src='x'/><p>two</p></article>",
+        "<article><p>one</p><button>buy<p>two</p></article>",
+        "<article><p>one <select><option>a<option>b</p>two</article><footer><select><option>c</select></footer>",
+        "<article><svg><svg><text>no</text></svg><p>no</p></svg><p>one</p><object data=x><div>two</div></article><script>var a='<svg>'",
+    ],
+)
+def test_hints_of_holders_and_raw_elements_left_open(page):
+    assert [t for t, s in html_pages.lines(page) if s == "inside"] == ["one", "two"]
+
+
+def test_hints_as_last_parts_and_closed_raw_elements():
+    page = "<article><p>one<div class='big site-footer'>no</div><div class=sidebar>no</div><ul role=navigation><li>no</ul><noscript><p>no</p></noscript><svg><p>no</p></svg><p>two</article>"
+    assert [t for t, s in html_pages.lines(page) if s == "inside"] == ["one", "two"]
+    # Many elements left open take one pass each name.
+    assert html_pages.lines("<article>" + "<button>x<p>y</p>" * 20_000) == [("y", "inside")] * 20_000
+
+
 def test_common_subsequence_is_longest():
     rnd = random.Random(4)
     for _ in range(300):
