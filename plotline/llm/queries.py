@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import chat, checks, decontaminate, html_pages, jaccard_join, language_score, neighbours, pieces, quality, secret_scan, sharding
+from plotline.llm import chat, checks, decontaminate, exact_copies, html_pages, jaccard_join, language_score, neighbours, pieces, prefix_trie, quality, ranked_search, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,21 @@ def role_repair(spark: SparkSession, folder: str) -> DataFrame:
 def page_differences(spark: SparkSession, folder: str) -> DataFrame:
     found = html_pages.extract(table(spark, folder, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_restored")
+
+
+@query("op11_radix_copies", checks.EXACT_COPIES)
+def radix_copies(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_copies.exact_copies(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op12_prefix_rollup", checks.PREFIX_TRIE)
+def prefix_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    found = prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+    return found.withColumnRenamed("conv", "conv_id").withColumnRenamed("parent_conv", "parent_conv_id")
+
+
+@query("op13_dual_tree_search", checks.RANKED_SEARCH)
+def dual_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
