@@ -13,6 +13,7 @@ from plotline.operators import market as mk
 from plotline.operators import second_wave as sw
 from plotline.operators import valuation as va
 from plotline.plans.backtest import backtest
+from plotline.session import settle
 from plotline.sources import files as fi
 from plotline.sources import sample_market as sm
 
@@ -78,18 +79,36 @@ def backtest_table(spark, d):
 
 
 _BOARD = """SELECT CAST(ts AS TIMESTAMP) AS created_at, CASE WHEN event_type = 'error' THEN 'not-supported' ELSE 'comparables' END AS method_kind,
-  CAST(floor(value * 20) AS INT) AS duration_ms, CAST(event_id % 100 AS INT) AS confidence FROM {events}"""
+  CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 5 = 0 THEN 'radius' WHEN event_id % 5 = 1 THEN 'commune' WHEN event_id % 5 = 2 THEN 'epci' WHEN event_id % 35 = 3 THEN 'national' ELSE 'departement' END AS method_level,
+  CAST(CASE WHEN event_id % 41 = 0 THEN NULL ELSE floor(value * 20) END AS INT) AS duration_ms, CAST(event_id % 101 AS INT) AS confidence FROM {events}"""
+_LEVELS = [*sw.LEVELS, "none"]
 
 
 @query(
     "X06_operations_board",
-    f"""SELECT CAST(created_at AS DATE)::VARCHAR AS day, count(*) AS n, floor(avg((method_kind = 'not-supported')::INT) * 1e4 + 0.5) / 1e4 AS deferred,
-        floor(quantile_cont(duration_ms::DOUBLE, 0.95) * 1e2 + 0.5) / 1e2 AS p95_ms, floor(avg(confidence) * 1e2 + 0.5) / 1e2 AS confidence,
-        quantile_cont(duration_ms::DOUBLE, 0.95) > 1500 AS slow, avg((method_kind = 'not-supported')::INT) > 0.02 AS too_many_deferred FROM ({_BOARD.format(events='events')}) GROUP BY 1,
-        CAST(created_at AS DATE)""",
+    f"""WITH log AS ({_BOARD.format(events='events')}), ends AS (SELECT DISTINCT epoch(created_at)::BIGINT // 900 * 900 + 900 AS e FROM log)
+        SELECT strftime(to_timestamp(e) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS until, count(*) AS n, floor(avg((method_kind = 'not-supported')::INT) * 1e4 + 0.5) / 1e4 AS deferred,
+          {", ".join(f"count(*) FILTER (coalesce(method_level, 'none') = '{x}') AS {x.replace('-', '_')}" for x in _LEVELS)},
+          {", ".join(f"count(*) FILTER (least(confidence // 10, 9) = {b}) AS bin_{b}" for b in range(10))},
+          true AS p95_close, coalesce(avg((duration_ms > 1500)::INT) > 0.05, false) AS too_slow, avg((method_kind = 'not-supported')::INT) > 0.02 AS too_many_deferred
+        FROM ends JOIN log ON epoch(created_at) >= e - 86400 AND epoch(created_at) < e GROUP BY e""",
 )
 def operations_board(spark, d):
-    return cs.plain(sw.operations_board(sm.on_spark(spark, d, _BOARD)), ["day"])
+    """The board of two half logs, with the sketched percentile held against the ranks of the durations themselves."""
+    log = sm.on_spark(spark, d, _BOARD).withColumn("at", F.unix_timestamp("created_at"))
+    halves = [log.where(F.pmod(F.xxhash64("created_at", "duration_ms"), F.lit(2)) == i) for i in (0, 1)]
+    board = settle(sw.operations_board(sw.board_intervals(halves[0]).unionByName(sw.board_intervals(halves[1]))))
+    # A duration counts in the boards of the 96 quarter hours that end within the day after it.
+    end = F.explode(F.sequence(F.floor(F.col("at") / 900) * 900 + 900, F.floor(F.col("at") / 900) * 900 + 86_400, F.lit(900)))
+    timed = log.where("duration_ms IS NOT NULL").select(end.alias("end"), "duration_ms")
+    ranks = timed.join(board.select(F.unix_timestamp("until").alias("end"), "p95_ms"), "end").groupBy("end").agg(
+        F.avg((F.col("duration_ms") < F.col("p95_ms")).cast("double")).alias("under"), F.avg((F.col("duration_ms") <= F.col("p95_ms")).cast("double")).alias("up_to"))
+    close = (F.col("under") <= 0.95 + sw.SKETCH_ERROR) & (F.col("up_to") >= 0.95 - sw.SKETCH_ERROR)
+    rows = board.join(ranks, F.unix_timestamp("until") == F.col("end"), "left")
+    return rows.select(
+        F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"), "n", "deferred", *[F.col("levels")[x].alias(x.replace("-", "_")) for x in _LEVELS],
+        *[F.col("confidence")[b].alias(f"bin_{b}") for b in range(10)], F.coalesce(close, F.col("p95_ms").isNull()).alias("p95_close"), "too_slow", "too_many_deferred",
+    )
 
 
 @query(
@@ -102,17 +121,27 @@ def coarse_points(spark, d):
     return rows.select("id_mutation", "longitude", "latitude", "geoloc_fine", "geoloc_source")
 
 
-_STEPS = """SELECT concat(CAST(user_id AS STRING), ' ', CAST(CAST(ts AS DATE) AS STRING)) AS session_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3
-  WHEN 'purchase' THEN 4 ELSE 1 END AS step_number FROM {events}"""
+_STEPS = """SELECT concat(CAST(user_id % 400 AS STRING), ' ', CAST(CAST(ts AS DATE) AS STRING)) AS session_id, CAST(ts AS TIMESTAMP) AS ts, event_id, event_type = 'error' AS failed,
+  CAST(1 + CAST(floor(value) AS BIGINT) % 5 AS INT) AS step_number, CASE event_id % 4 WHEN 0 THEN 'email|phone' WHEN 1 THEN 'surface' WHEN 2 THEN ' email | email|' ELSE '' END AS error_fields FROM {events}"""
 
 
 @query(
     "X08_funnel",
-    f"""WITH f AS (SELECT session_id, max(step_number) AS furthest FROM ({_STEPS.format(events='events')}) GROUP BY 1), s AS (SELECT step, count(*) AS sessions FROM f, range(1, 5) t(step) WHERE step <= furthest GROUP BY 1)
-        SELECT s.step, s.sessions, s.sessions - coalesce(n.sessions, 0) AS left_here FROM s LEFT JOIN s n ON n.step = s.step + 1""",
+    f"""WITH seen AS ({_STEPS.format(events='events')}),
+        reached AS (SELECT session_id, list_reduce(list_prepend(0, list(step_number ORDER BY ts, event_id)), lambda r, s: CASE WHEN s = r + 1 THEN s ELSE r END) AS reached FROM seen WHERE NOT failed GROUP BY 1),
+        fields AS (SELECT DISTINCT event_id, step_number, trim(unnest(string_split(error_fields, '|'))) AS field FROM seen WHERE failed),
+        listed AS (SELECT step_number, string_agg(field || '=' || n, ';' ORDER BY field) AS error_fields FROM (SELECT step_number, field, count(*) AS n FROM fields WHERE field <> '' GROUP BY 1, 2) GROUP BY 1)
+        SELECT step::INT AS step, count(*) FILTER (reached >= step) AS sessions, count(*) FILTER (reached = step AND step < 5) AS left_here, any_value(e.errors) AS errors, any_value(e.sessions_with_errors) AS sessions_with_errors,
+          any_value(coalesce(l.error_fields, '')) AS error_fields
+        FROM reached CROSS JOIN range(1, 6) t(step) LEFT JOIN (SELECT step_number, count(*) AS errors, count(DISTINCT session_id) AS sessions_with_errors FROM seen WHERE failed GROUP BY 1) e ON e.step_number = step
+        LEFT JOIN listed l ON l.step_number = step GROUP BY step""",
 )
 def funnel(spark, d):
-    return sw.funnel(sm.on_spark(spark, d, _STEPS), 4)
+    """Steps in any order, some seen again or skipped, and errors with several fields."""
+    rows = sm.on_spark(spark, d, _STEPS)
+    found = sw.funnel(rows.where("NOT failed"), rows.where("failed"), 5)
+    text = F.array_join(F.transform(F.map_entries("error_fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.withColumn("error_fields", text)
 
 
 _ZONES = """SELECT lpad(CAST(n_nationkey + 1 AS STRING), 2, '0') AS code, n_name AS name, CAST(1000 + count(*) AS DOUBLE) AS price, CAST(count(*) AS DOUBLE) AS maisons,
