@@ -11,8 +11,9 @@ from plotline.catalog.entries import part, query
 from plotline.functions import events as ev
 from plotline.functions import privacy
 from plotline.operators import leads as le
-from plotline.session import checkpoint_folder
+from plotline.session import checkpoint_folder, settle
 from plotline.sources import sample_market as sm
+from plotline.streaming import addresses as ad
 from plotline.streaming import events as st
 
 SITE = "site.example"
@@ -140,21 +141,41 @@ def _hit_stream(spark, d):
     return spark.sql(sm.HITS, events=events)
 
 
-@query("T01_stream_attribution", "SELECT session_id, paid AS campaign, gclid, source, \"landingPage\" FROM attributed")
+def _in_batches(spark, rows, stream, heartbeat, count=3):
+    """Run a stream over ``count`` files of rows in order of time, then over heartbeats that close what is open."""
+    base = f"{checkpoint_folder(spark)}/batches-{uuid.uuid4().hex}"
+    rows = settle(rows)
+    cuts = rows.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [i / count for i in range(1, count)], 0.01)
+    edges = [float("-inf"), *cuts, float("inf")]
+    at = F.unix_micros("ts")
+    parts = [rows.where((at > low) & (at <= high)) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    late = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("late")).first().late
+    for number, part_rows in enumerate([*parts, heartbeat(late), heartbeat(late)]):
+        part_rows.select(*rows.columns).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        st.run_available(stream(source), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query(
+    "T01_stream_attribution",
+    """WITH t AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 24 HOUR, true)::INT AS fresh FROM blocks WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+       v AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS visit FROM t)
+       SELECT session_id, strftime(min(ts) OVER (PARTITION BY session_id, visit), '%Y-%m-%d %H:%M:%S') AS started, paid AS campaign, gclid, source, "landingPage" FROM v
+       QUALIFY row_number() OVER (PARTITION BY session_id, visit ORDER BY paid DESC, CASE WHEN paid THEN -epoch_us(ts) ELSE epoch_us(ts) END, CASE WHEN paid THEN -event_id ELSE event_id END) = 1""",
+)
 def stream_attribution(spark, d):
-    written = _run_stream(spark, st.attribution(_hit_stream(spark, d), SITE), "update")
-    last = written.groupBy("session_id").agg(F.max_by(F.struct("block", "campaign"), F.struct("batch")).alias("r"))
-    field = lambda n: F.get_json_object("r.block", f"$.{n}").alias(n)
-    return last.select("session_id", "r.campaign", field("gclid"), field("source"), field("landingPage"))
+    """Visits over three batches; a visit may go on in the next batch, and a session returns for another."""
+    hits = sm.hits(spark, d).select("session_id", "ts", "event_id", "href", "referrer")
+    beat = lambda late: spark.createDataFrame([(-1, late, -1, "https://site.example/", "")], hits.schema)
+    rows = _in_batches(spark, hits, lambda source: st.attribution(source, SITE), beat)
+    field = lambda n: F.get_json_object("block", f"$.{n}").alias(n)
+    return rows.select("session_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "campaign", field("gclid"), field("source"), field("landingPage"))
 
 
-@query("T02_stream_conversions", "SELECT DISTINCT 'lead-' || (event_id // 3) AS lead_id FROM events WHERE event_type = 'purchase'")
+@query("T02_stream_conversions", "SELECT DISTINCT 'lead-' || (event_id // 3) AS lead_id FROM events")
 def stream_conversions(spark, d):
-    leads = (
-        _hit_stream(spark, d)
-        .filter(F.col("event_type") == "purchase")
-        .withColumn("lead_id", F.concat(F.lit("lead-"), F.expr("event_id div 3").cast("string")))
-    )
+    leads = _hit_stream(spark, d).withColumn("lead_id", F.concat(F.lit("lead-"), F.expr("event_id div 3").cast("string")))
     return _run_stream(spark, st.conversions(leads.select("lead_id", "ts"))).select("lead_id")
 
 
@@ -169,11 +190,45 @@ def quota_breaches(spark, d):
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("T03_quota_breach_stream")
+_STREAM_CALLS = """SELECT CASE event_id % 7 WHEN 0 THEN 'global' WHEN 1 THEN 'geocode' WHEN 2 THEN 'marche' WHEN 3 THEN 'estimation' WHEN 4 THEN 'estimation_daily' WHEN 5 THEN 'lead' ELSE 'lead_daily' END AS scope,
+  CAST(user_id % 2 AS BIGINT) AS client, date_trunc('week', CAST(ts AS TIMESTAMP)) + CASE WHEN event_id % 3 = 0 THEN INTERVAL 1 MINUTE ELSE INTERVAL 0 MINUTE END AS ts FROM {events}"""
+_LIMIT_ROWS = ", ".join(f"('{scope}', {text.split('/')[0].strip()}, '{text.split('/')[1].strip()}')" for scope, text in fixed.QUOTAS)
+
+
+@query(
+    "T03_quota_breach_stream",
+    f"""SELECT scope, client, strftime(CASE WHEN duration = '1 day' THEN date_trunc('day', ts) ELSE date_trunc('minute', ts) END, '%Y-%m-%d %H:%M:%S') AS window_start, duration, count(*) AS requests
+        FROM ({_STREAM_CALLS.format(events='events')}) JOIN (VALUES {_LIMIT_ROWS}) q(scope, allowed, duration) USING (scope) GROUP BY 1, 2, 3, 4, allowed HAVING count(*) > allowed""",
+)
 def quota_breach_stream(spark, d):
-    """Streaming twin; the last window stays open until later events close it."""
-    calls = _hit_stream(spark, d).select("ts", F.col("session_id").alias("client"))
-    return _run_stream(spark, st.breaches(calls, "estimation", 2, "1 hour"))
+    """All seven allowances over three batches; heartbeats close the last windows."""
+    calls = sm.on_spark(spark, d, _STREAM_CALLS)
+    beat = lambda late: spark.createDataFrame([("global", -1, late)], calls.schema)
+    found = _in_batches(spark, calls, lambda source: st.breaches(source, le.quota_table(spark)), beat)
+    return found.select("scope", "client", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "duration", "requests")
+
+
+_RESOLVED = f"""SELECT address, postal_code, city, label, lon, lat, 1 AS batch, TIMESTAMP '2001-07-01 08:00:00' AS resolved_at, expires_on FROM ({sm.ADDRESSES}) a
+  UNION ALL SELECT address, postal_code, city, concat(label, ' anew'), lon, lat, 2, TIMESTAMP '2001-07-15 08:00:00', CAST('2001-12-01' AS DATE) FROM ({sm.ADDRESSES}) a WHERE label LIKE '%3'
+  UNION ALL SELECT address, postal_code, city, label, lon, lat, 3, TIMESTAMP '2001-07-30 08:00:00', CAST('2001-07-29' AS DATE) FROM ({sm.ADDRESSES}) a WHERE label LIKE '%7'
+  UNION ALL SELECT address, postal_code, city, concat(label, ' too late'), lon, lat, 3, TIMESTAMP '2001-06-30 08:00:00', CAST('2001-12-31' AS DATE) FROM ({sm.ADDRESSES}) a WHERE label LIKE '%1'"""
+
+
+@query(
+    "T06_live_addresses",
+    f"""SELECT address, postal_code, city, label, lon, lat, expires_on::VARCHAR AS expires_on FROM ({_RESOLVED.format(customer='customer')})
+        QUALIFY row_number() OVER (PARTITION BY address, postal_code, city ORDER BY resolved_at DESC, expires_on DESC, label DESC, lon DESC, lat DESC, batch DESC) = 1 AND expires_on >= DATE '2001-08-01'""",
+)
+def live_addresses(spark, d):
+    """Addresses after three batches: renewed ones, ones that have expired meanwhile, and news that came too late."""
+    base, keys = f"{checkpoint_folder(spark)}/live-{uuid.uuid4().hex}", ["address", "postal_code", "city"]
+    rows = settle(sm.on_spark(spark, d, _RESOLVED))
+    for number in (1, 2, 3):
+        rows.where(F.col("batch") == number).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        ad.keep_live(stream, f"{base}/table", f"{base}/state", keys)
+    found = ad.live_addresses(spark, f"{base}/table", sm.REFERENCE_DATE)
+    return found.select(*keys, "label", "lon", "lat", F.col("expires_on").cast("string").alias("expires_on"))
 
 
 _ALLOWANCES = """SELECT event_id AS scope_id, CASE event_id % 4 WHEN 0 THEN concat(CAST(event_id % 50 AS STRING), '/1 minute')

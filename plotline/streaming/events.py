@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plotline.functions import events as ev
-from plotline.operators.leads import quota_breaches
 
 
 def event_stream(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
@@ -27,56 +24,47 @@ def conversions(leads: DataFrame, lateness: str = "1 day") -> DataFrame:
     return named.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["lead_id"])
 
 
-def breaches(requests: DataFrame, scope: str, limit: int, duration: str, lateness: str = "10 minutes") -> DataFrame:
-    return quota_breaches(requests.withWatermark("ts", lateness), scope, limit, duration)
+def breaches(calls: DataFrame, allowances: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """Clients over the allowance of each scope, per tumbling window of its length, once that has closed.
 
-
-ATTRIBUTION = "session_id long, block string, campaign boolean, updated_at timestamp"
-_STATE = "paid_block string, paid_at timestamp, paid_event long, first_block string, first_at timestamp, first_event long, seen_at timestamp"
-
-
-def _follower(gap_ms: int):
-    """Last campaign wins, by event time; without one the first touch stays."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
-        paid, first, seen = rows[rows["campaign"]].tail(1), rows.head(1), rows["ts"].max().to_pydatetime()
-        picked = lambda part: (part["block"].iloc[0], part["ts"].iloc[0].to_pydatetime(), int(part["event_id"].iloc[0]))
-        paid = picked(paid) if len(paid) else (None, None, None)
-        first = picked(first)
-        if state.exists:
-            held = state.get
-            if held[0] is not None and (paid[0] is None or held[1:3] > paid[1:]):
-                paid = held[:3]
-            first = min(first, held[3:6], key=lambda x: x[1:])
-            seen = max(seen, held[6])
-        state.update((*paid, *first, seen))
-        # The session ends after so long without a touch; a late one is kept until the watermark passes it.
-        due = int(seen.timestamp() * 1000) + gap_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        block, at, _ = paid if paid[0] is not None else first
-        yield pd.DataFrame({"session_id": [key[0]], "block": [block], "campaign": [paid[0] is not None], "updated_at": [at]})
-
-    return follow
-
-
-def attribution(hits: DataFrame, site_host: str, lateness: str = "1 day", inactivity_hours: float = 24) -> DataFrame:
-    """Running attribution of each session; it ends after ``inactivity_hours`` without a touch."""
+    ``calls``: scope, client, ts; ``allowances``: a static table of scope,
+    requests and duration.  Windows of all lengths are counted in one stateful
+    aggregate.  A window closes when later calls, or a heartbeat row, have taken
+    the watermark past its end.
+    """
+    calls = calls.withWatermark("ts", lateness)
+    limits = allowances.select("scope", F.col("requests").alias("allowed"), "duration")
+    # One row for each written duration: minutes and days.
+    durations = sorted(r.duration for r in limits.select("duration").distinct().collect())
+    windows = [
+        calls.join(F.broadcast(limits.where(F.col("duration") == duration)), "scope").select(F.window("ts", duration).alias("w"), "scope", "client", "duration", "allowed")
+        for duration in durations
+    ]
+    counted = reduce(DataFrame.union, windows).groupBy("w", "scope", "client", "duration", "allowed").agg(F.count("*").alias("requests"))
+    return counted.where(F.col("requests") > F.col("allowed")).select("scope", "client", F.col("w.start").alias("window_start"), "duration", "requests")
+
+
+def attribution(hits: DataFrame, site_host: str, lateness: str = "1 day", inactivity: str = "24 hours") -> DataFrame:
+    """Attribution of each visit: its last campaign by event time, without one its first touch.
+
+    A visit ends after ``inactivity`` without a touch, and is emitted once the
+    watermark has passed its end; one that returns later is a visit of its own.
+    ``hits``: session_id, ts, event_id, href, referrer.
+    """
     block = ev.acquisition(F.col("href"), F.col("referrer"), site_host)
     touches = (
-        hits.withColumn("parsed", block)
+        hits.withWatermark("ts", lateness).withColumn("parsed", block)
         .filter(F.col("parsed").isNotNull())
-        .select(
-            "session_id", "ts", "event_id", F.to_json("parsed").alias("block"),
-            ev.campaign_touch(F.col("parsed")).alias("campaign"),
-        )
-        .withWatermark("ts", lateness)
+        .select("session_id", "ts", F.struct("ts", "event_id").alias("order"), F.to_json("parsed").alias("block"), ev.campaign_touch(F.col("parsed")).alias("paid"))
+    )
+    campaign = F.when(F.col("paid"), F.col("order"))
+    visits = touches.groupBy("session_id", F.session_window("ts", inactivity).alias("visit")).agg(
+        F.max_by("block", campaign).alias("campaign_block"), F.min_by("block", F.col("order")).alias("first_block"), F.max(F.when(F.col("paid"), F.col("ts"))).alias("campaign_at"),
     )
-    return touches.groupBy("session_id").applyInPandasWithState(
-        _follower(int(inactivity_hours * 3_600_000)), ATTRIBUTION, _STATE, "update", GroupStateTimeout.EventTimeTimeout
+    paid = F.col("campaign_block").isNotNull()
+    return visits.select(
+        "session_id", F.col("visit.start").alias("started"), F.coalesce("campaign_block", "first_block").alias("block"), paid.alias("campaign"),
+        F.coalesce("campaign_at", "visit.start").alias("updated_at"),
     )
 
 
