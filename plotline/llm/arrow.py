@@ -40,10 +40,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             start = stop
 
 
-def append(docs: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def append(docs: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], limit: int = SLICE_BYTES) -> DataFrame:
     """``docs`` and the columns that a task's worker makes of each slice.
 
-    ``make`` runs once per task and returns the worker.  Like ``withColumn``, a
+    ``make`` runs once per task and returns the worker; a slice has about ``limit`` bytes of text.  Like ``withColumn``, a
     new column replaces one of the same name.
     """
     base = docs.drop(*[f.name for f in fields])
@@ -52,7 +52,7 @@ def append(docs: DataFrame, text: str, fields: list[StructField], make: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in slices(batches, at):
+        for part in slices(batches, at, limit):
             made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(work(part), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
