@@ -8,11 +8,13 @@ from plotline import fixed_values as fixed
 from plotline.catalog import comparables as cc
 from plotline.catalog import places
 from plotline.catalog.entries import part, query, shared
+from plotline.catalog.maintenance import _folder as cm_folder
 from plotline.functions import numbers as num
 from plotline.operators import market as mk
 from plotline.operators import valuation as va
 from plotline.operators.samples import clean_samples
 from plotline.plans import portfolio as pf
+from plotline.plans.store import value_once
 from plotline.session import settle
 from plotline.sources import sample_market as sm
 
@@ -367,6 +369,27 @@ def request_keys(spark, d):
     return keys.agg(F.sum("n").alias("requests"), F.count("*").alias("keys"))
 
 
+_ASKED_AGAIN = """SELECT request_id, request_id AS property, 1 AS run FROM {rows} WHERE request_id % 2 = 0 UNION ALL SELECT request_id, request_id, 2 FROM {rows}
+  UNION ALL SELECT request_id + 1000000000, request_id, 2 FROM {rows} WHERE request_id % 3 = 0 UNION ALL SELECT request_id, request_id, 3 FROM {rows}"""
+
+
+@query(
+    "V24_valued_once",
+    f"""SELECT a.run, a.request_id, v.kind, v.value, v.low, v.high, a.run = CASE WHEN a.property % 2 = 0 THEN 1 ELSE 2 END AS valued_now
+        FROM ({_ASKED_AGAIN.format(rows='request_rows')}) a JOIN all_valued v ON v.request_id = a.property""",
+)
+def valued_once(spark, d):
+    """Half of the requests, then all and some again under other ids, then all: the third run values none."""
+    path, m = cm_folder(spark, "valued"), cc.market(spark, d)
+    located = places.located(spark, d)
+    again = located.where("request_id % 3 = 0").withColumn("request_id", F.col("request_id") + 1_000_000_000)
+    value = lambda rows: pf.value_portfolio(
+        rows, m["sales"], m["medians"], m["land"], va.coefficient_rows(spark), va.department_references(spark), TODAY)["results"]
+    runs = [located.where("request_id % 2 = 0"), located.unionByName(again), located]
+    found = [settle(value_once(spark, path, rows, "dvf-2001-08", value).select(F.lit(n).alias("run"), "request_id", "kind", "value", "low", "high", "valued_now")) for n, rows in enumerate(runs, 1)]
+    return found[0].union(found[1]).union(found[2])
+
+
 def _blur(x: str, step: str) -> str:
     return f"floor({x} / {step} + 0.5) * {step}"
 
