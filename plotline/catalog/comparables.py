@@ -139,7 +139,7 @@ def outcomes(spark, d):
 
 
 def chosen(spark, d):
-    return cp.chosen_samples(searches(spark, d), outcomes(spark, d))
+    return cp.chosen_samples(searches(spark, d), outcomes(spark, d), market(spark, d)["sales"])
 
 
 # --- Queries ----------------------------------------------------------------
@@ -217,10 +217,9 @@ def radius_fetch(spark, d):
 )
 def area_fetch(spark, d):
     attempts = [a for a in cp.PLAN if a.level != "radius"]
-    samples = cp.area_samples(searches(spark, d), market(spark, d)["sales"], attempts, TODAY)
-    return samples.select(F.col("search_id").alias("request_id"), "attempt_no", F.explode("sample").alias("x")).select(
-        "request_id", "attempt_no", "x.sale_id", "x.rank", "x.distance"
-    )
+    asked, sold = searches(spark, d), market(spark, d)["sales"]
+    picked = cp.area_samples(asked, sold, attempts, TODAY).select("search_id", "property_type", "attempt_no", F.explode("sample").alias("x"))
+    return cp.with_sales(picked, asked, sold).select(F.col("search_id").alias("request_id"), "attempt_no", "sale_id", "rank", "distance")
 
 
 @query(

@@ -78,6 +78,7 @@ def forget_shared() -> None:
 @lru_cache(maxsize=1)
 def _load() -> None:
     from plotline.catalog import (  # noqa: F401
+        backtest,
         calibration,
         comparables,
         leads,

@@ -11,8 +11,6 @@ from plotline.catalog.entries import part, query
 from plotline.functions.numbers import half_up_decimals as tidy
 from plotline.operators import market as mk
 from plotline.operators import second_wave as sw
-from plotline.operators import valuation as va
-from plotline.plans.backtest import backtest
 from plotline.session import settle
 from plotline.sources import files as fi
 from plotline.sources import sample_market as sm
@@ -70,14 +68,6 @@ def market_pages(spark, d):
     )
 
 
-@query("X05_backtest")
-def backtest_table(spark, d):
-    m = cc.market(spark, d)
-    return backtest(
-        m["sales"], m["medians"], m["land"], va.coefficient_rows(spark), va.department_references(spark), TODAY
-    )
-
-
 _BOARD = """SELECT CAST(ts AS TIMESTAMP) AS created_at, CASE WHEN event_type = 'error' THEN 'not-supported' ELSE 'comparables' END AS method_kind,
   CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 5 = 0 THEN 'radius' WHEN event_id % 5 = 1 THEN 'commune' WHEN event_id % 5 = 2 THEN 'epci' WHEN event_id % 35 = 3 THEN 'national' ELSE 'departement' END AS method_level,
   CAST(CASE WHEN event_id % 41 = 0 THEN NULL ELSE floor(value * 20) END AS INT) AS duration_ms, CAST(event_id % 101 AS INT) AS confidence FROM {events}"""

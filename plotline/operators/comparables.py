@@ -8,7 +8,9 @@ job runs in three stages, each on the properties the previous one left open:
 2. attempts 3-18, one grid join at 5 km, plus the two commune attempts;
 3. attempts 19-23, by inter-commune body, commune, department, region, country.
 
-Radius joins meet on grid cells.  Administrative attempts never pair a
+Radius joins meet on grid cells and surface bins.  Attempts are judged by
+counts over narrow arrays; the sales of a search's one accepted attempt get
+their other columns at the end.  Administrative attempts never pair a
 property with every sale of its area: a histogram by surface tells how far
 from the wanted surface the 200 closest sales reach, and only those are read.
 """
@@ -23,8 +25,7 @@ from pyspark.sql import functions as F
 
 from plotline import fixed_values as fixed
 from plotline.functions import geo
-from plotline.operators.samples import clean_samples
-from plotline.operators.skew import slice_hot_keys
+from plotline.operators.samples import kept_count, within_bounds
 from plotline.session import settle
 
 
@@ -133,107 +134,145 @@ def searchable_sales(built: DataFrame, land: DataFrame, communes: DataFrame, med
 
 
 def with_reference_median(searches: DataFrame, medians: DataFrame) -> DataFrame:
-    """Median of the searched commune, for the market guard."""
-    own = medians.select("code_insee", F.col("type_local").alias("property_type"), F.col("med").alias("ref_med"))
-    return searches.join(own, ["code_insee", "property_type"], "left")
+    """Median of the searched commune, for the market guard; in a replay that of the day looked back from."""
+    day = [c for c in ("as_of",) if c in medians.columns]
+    own = medians.select("code_insee", F.col("type_local").alias("property_type"), *day, F.col("med").alias("ref_med"))
+    return searches.join(own, ["code_insee", "property_type", *day], "left")
 
 
-def _comparable(rank: Column, distance: Column) -> Column:
+def _pick(rank: Column, distance: Column) -> Column:
+    """What ranks and judges a sale; the rest of it is joined to the one sample that is used."""
     return F.struct(
-        rank.alias("rank"), "sale_id", F.col("sale_surface").cast("double").alias("surface"),
-        F.col("surface_terrain").cast("double").alias("land"), F.col("date_mutation").alias("date"), "price", "value",
-        "rooms", "street", "city", "longitude", "latitude", distance.alias("distance"),
+        rank.cast("int").alias("rank"), "sale_id", distance.cast("double").alias("distance"), "price",
+        within_bounds(F.col("price"), F.col("sale_surface"), F.col("value")).alias("fine"),
     )
 
 
+def _dated(searches: DataFrame, reference_date: str) -> DataFrame:
+    """Searches with the day they look back from; ``as_of`` is that of a replay."""
+    return searches if "as_of" in searches.columns else searches.withColumn("as_of", F.lit(reference_date).cast("date"))
+
+
+def _known(searches: DataFrame) -> Column:
+    """Of a replay, only sales before the day it looks back from."""
+    return F.col("date_mutation") < F.col("as_of") if "as_of" in searches.columns else F.lit(True)
+
+
 # --- Radius attempts --------------------------------------------------------
 
+_STEP = 1.2  # width of the surface bins on which pairs meet
+
+
+def _size_bin(surface: Column) -> Column:
+    return F.floor(F.log(F.greatest(surface.cast("double"), F.lit(1.0))) / F.log(F.lit(_STEP))).cast("int")
+
 
 def radius_pairs(searches: DataFrame, sales: DataFrame, radius_m: float, since: Column) -> DataFrame:
-    """Pairs of a search and a fitting sale at most ``radius_m`` away."""
+    """Pairs of a search and a fitting sale at most ``radius_m`` away.
+
+    They meet on type, grid cell and surface bin, so a search sees no sale far
+    from its size, and even a dense city is many keys.
+    """
     low, high = surface_band(F.col("surface"), tolerance(F.lit(True)))
+    extra = [c for c in ("as_of",) if c in searches.columns]
     seekers = searches.select(
-        "search_id", "property_type", "surface", "ref_med",
+        "search_id", "property_type", "surface", "ref_med", *extra,
         F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"), low.alias("low"), high.alias("high"),
         F.explode(geo.neighbours(geo.cell_x(F.col("lon"), radius_m))).alias("cell_x"),
         geo.cell_y(F.col("lat"), radius_m).alias("row"),
-    ).select("*", F.explode(geo.neighbours(F.col("row"))).alias("cell_y")).drop("row")
-    offers = (
-        sales.filter(F.col("geoloc_fine") & (F.col("date_mutation") >= since))
-        .withColumnRenamed("surface", "sale_surface")
-        .withColumn("property_type", F.col("type_local"))
-        .withColumn("cell_x", geo.cell_x(F.col("longitude"), radius_m))
-        .withColumn("cell_y", geo.cell_y(F.col("latitude"), radius_m))
-        .select(
-            "sale_id", "property_type", "sale_surface", "surface_terrain", "date_mutation", "price", "value",
-            "rooms", "street", "city", "longitude", "latitude", "med", "cell_x", "cell_y",
-        )
     )
-    keys = ["property_type", "cell_x", "cell_y"]
-    seekers, offers, keys = slice_hot_keys(seekers, offers, keys, "search_id", "sale_id")
+    seekers = seekers.select("*", F.explode(geo.neighbours(F.col("row"))).alias("cell_y")).drop("row")
+    seekers = seekers.withColumn("size_bin", F.explode(F.sequence(_size_bin(F.col("low")), _size_bin(F.col("high")))))
+    offers = sales.filter(F.col("geoloc_fine") & (F.col("date_mutation") >= since)).select(
+        "sale_id", F.col("type_local").alias("property_type"), F.col("surface").alias("sale_surface"), "date_mutation", "price", "value", "longitude", "latitude",
+        *[c for c in ("med", "meds") if c in sales.columns],
+        geo.cell_x(F.col("longitude"), radius_m).alias("cell_x"), geo.cell_y(F.col("latitude"), radius_m).alias("cell_y"), _size_bin(F.col("surface")).alias("size_bin"),
+    )
     distance = geo.distance_m(F.col("at_lon"), F.col("at_lat"), F.col("longitude"), F.col("latitude"))
     return (
-        seekers.join(offers, keys)
+        seekers.join(offers, ["property_type", "cell_x", "cell_y", "size_bin"])
         .filter(F.col("sale_surface").between(F.col("low"), F.col("high")))
         .withColumn("distance", distance)
         .filter(F.col("distance") <= radius_m)
     )
 
 
-def radius_samples(
-    searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str
-) -> DataFrame:
-    """The 200 nearest fitting sales of each search, for each attempt.
-
-    Attempts that differ only by radius share one ranking: being nearest
-    within 5 km implies being nearest within 500 m.
-    """
-    reach = max(a.radius for a in attempts)
-    longest = max(a.months for a in attempts)
-    pairs = radius_pairs(searches, sales, reach, window_start(reference_date, longest))
-
+def _rankings(attempts: list[Attempt]) -> list[list[Attempt]]:
+    """Attempts that differ only by radius share one ranking: nearest within 5 km implies nearest within 500 m."""
     classes: dict[tuple, list[Attempt]] = {}
     for a in attempts:
         classes.setdefault((a.months, a.wide, a.guarded), []).append(a)
-    gap = F.abs(F.col("med") - F.col("ref_med"))
-    guard = F.coalesce(gap <= fixed.GUARD_TOLERANCE * F.col("ref_med"), F.lit(True))
+    return list(classes.values())
+
+
+def radius_near(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> DataFrame:
+    """search_id, property_type, ranking, near: the 200 nearest fitting sales for each ranking of the attempts."""
+    reach, longest = max(a.radius for a in attempts), max(a.months for a in attempts)
+    known = _known(searches)
+    earliest = F.lit(reference_date).cast("date") if "as_of" not in searches.columns else searches.agg(F.min("as_of")).scalar()
+    searches = _dated(searches, reference_date)
+    pairs = radius_pairs(searches, sales, reach, F.add_months(earliest, -longest)).where(known)
+    med = F.try_element_at("meds", F.col("as_of")) if "meds" in sales.columns else F.col("med")
+    guard = F.coalesce(F.abs(med - F.col("ref_med")) <= fixed.GUARD_TOLERANCE * F.col("ref_med"), F.lit(True))
     base_low, base_high = surface_band(F.col("surface"), tolerance(F.lit(False)))
-    fits, members = [], []
-    for number, ((months, wide, guarded), group) in enumerate(classes.items()):
-        fit = F.col("date_mutation") >= window_start(reference_date, months)
-        fit &= F.col("distance") <= max(a.radius for a in group)
-        if not wide:
+    fits = []
+    for number, group in enumerate(_rankings(attempts)):
+        fit = (F.col("date_mutation") >= F.add_months("as_of", -group[0].months)) & (F.col("distance") <= max(a.radius for a in group))
+        if not group[0].wide:
             fit &= F.col("sale_surface").between(base_low, base_high)
-        if guarded:
+        if group[0].guarded:
             fit &= guard
         fits.append(F.when(fit, F.lit(number)))
-        rows = [F.struct(F.lit(a.number).alias("attempt_no"), F.lit(float(a.radius)).alias("radius")) for a in group]
-        members.append((number, F.array(*rows)))
-
     nearest = Window.partitionBy("search_id", "property_type", "ranking").orderBy("distance", "sale_id")
     ranked = (
-        pairs.withColumn("ranking", F.explode(F.array_compact(F.array(*fits))))
+        pairs.select(
+            "search_id", "property_type", "sale_id", "sale_surface", "price", "value", "distance",
+            F.explode(F.array_compact(F.array(*fits))).alias("ranking"),
+        )
         .withColumn("rank", F.row_number().over(nearest))
         .filter(F.col("rank") <= fixed.FETCH_LIMIT)
     )
-    gathered = ranked.groupBy("search_id", "property_type", "ranking").agg(
-        F.sort_array(F.collect_list(_comparable(F.col("rank"), F.col("distance")))).alias("near")
+    return ranked.groupBy("search_id", "property_type", "ranking").agg(
+        F.sort_array(F.collect_list(_pick(F.col("rank"), F.col("distance")))).alias("near")
     )
-    mine = reduce(
+
+
+def _per_ranking(attempts: list[Attempt], body) -> Column:
+    """For each row's ranking, an array of what ``body`` makes of its attempts."""
+    return reduce(
         lambda chain, m: chain.when(F.col("ranking") == m[0], m[1]),
-        members[1:],
-        F.when(F.col("ranking") == members[0][0], members[0][1]),
-    )
-    return (
-        gathered.withColumn("a", F.explode(mine))
-        .select(
-            "search_id", "property_type", F.col("a.attempt_no").alias("attempt_no"),
-            F.filter("near", lambda x: x["distance"] <= F.col("a.radius")).alias("sample"),
-        )
-        .filter(F.size("sample") > 0)
+        [(n, F.array(*[body(a) for a in group])) for n, group in enumerate(_rankings(attempts))][1:],
+        F.when(F.col("ranking") == 0, F.array(*[body(a) for a in _rankings(attempts)[0]])),
     )
 
 
+def _within(radius: Column | float) -> Column:
+    return F.filter("near", lambda x: x["distance"] <= radius)
+
+
+def radius_samples(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> DataFrame:
+    """The 200 nearest fitting sales of each search, for each attempt."""
+    asked = _per_ranking(attempts, lambda a: F.struct(F.lit(a.number).alias("attempt_no"), F.lit(float(a.radius)).alias("radius")))
+    near = radius_near(searches, sales, attempts, reference_date).withColumn("a", F.explode(asked))
+    return near.select("search_id", "property_type", "a.attempt_no", _within(F.col("a.radius")).alias("sample")).filter(F.size("sample") > 0)
+
+
+def _radius_outcomes(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str):
+    """Counts of each attempt, and what gives the sales of chosen ones."""
+    near = settle(radius_near(searches, sales, attempts, reference_date))
+    counted = lambda a: F.struct(
+        F.lit(a.number).alias("attempt_no"), F.size(_within(float(a.radius))).alias("fetched"), kept_count(_within(float(a.radius))).alias("kept"))
+    counts = near.select("search_id", "property_type", F.explode(_per_ranking(attempts, counted)).alias("a")).select("search_id", "property_type", "a.*")
+    place = [(a.number, n, float(a.radius)) for n, group in enumerate(_rankings(attempts)) for a in group]
+
+    def picks(first: DataFrame) -> DataFrame:
+        of = lambda i: F.create_map(*[F.lit(x) for row in place for x in (row[0], row[i])])[F.col("attempt_no")]
+        first = first.where(F.col("attempt_no").isin([row[0] for row in place])).withColumns({"ranking": of(1), "radius": of(2)})
+        return first.join(near, ["search_id", "ranking"]).select("search_id", "attempt_no", _within(F.col("radius")).alias("picks"))
+
+    return counts.filter(F.col("fetched") > 0), picks
+
+
 # --- Administrative attempts ------------------------------------------------
 
 _SCOPES = {"commune": "code_insee", "epci": "code_epci", "departement": "code_departement", "region": "code_region"}
@@ -257,13 +296,16 @@ def _sale_scopes(level: str) -> list[Column]:
     return [F.col(_SCOPES[level])]
 
 
-def area_samples(
-    searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str
-) -> DataFrame:
-    """The 200 sales closest in surface, newest first, in each search's area."""
-    area = ["scope", "area", "property_type"]
+def area_requests(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> tuple[DataFrame, DataFrame]:
+    """What each search asks for, and the sample of each different request.
+
+    Searches of one area, type, surface and tolerance share a request: the 200
+    sales closest in surface, newest first.
+    """
+    replay = "as_of" in searches.columns
+    area = ["scope", "area", "property_type", *(["as_of"] if replay else [])]
     asked = searches.select(
-        "search_id", "lon", "lat", "property_type", "surface",
+        "search_id", "property_type", "surface", *(["as_of"] if replay else []),
         F.explode(
             F.array(
                 *[
@@ -275,20 +317,22 @@ def area_samples(
                 ]
             )
         ).alias("a"),
-    ).select("search_id", "lon", "lat", "property_type", "surface", "a.*")
+    ).select("search_id", "surface", *area[2:], "a.*")
     asked = asked.filter(F.col("area").isNotNull())
-
-    # Properties of one area, type, surface and tolerance share their sample.
     low, high = surface_band(F.col("surface"), F.col("ratio"))
     wanted = (
         asked.select(*area, "surface", "ratio").distinct().withColumn("low", low).withColumn("high", high)
     )
 
     scopes = {(a.scope, a.level, a.months) for a in attempts}
+    days = F.lit(reference_date).cast("date")
+    if replay:  # the days that searches look back from are few, and each has a market of its own
+        sales = sales.withColumn("as_of", F.explode(searches.agg(F.collect_set("as_of")).scalar())).where(F.col("date_mutation") < F.col("as_of"))
+        days = F.col("as_of")
     memberships = F.array(
         *[
             F.when(
-                F.col("date_mutation") >= window_start(reference_date, months),
+                F.col("date_mutation") >= F.add_months(days, -months),
                 F.struct(F.lit(scope).alias("scope"), where.alias("area")),
             )
             for scope, level, months in sorted(scopes)
@@ -297,12 +341,11 @@ def area_samples(
     )
     # No request can use more than the 200 newest sales of one exact surface.
     newest = Window.partitionBy(*area, "sale_surface").orderBy(F.col("date_mutation").desc(), "sale_id")
-    offers = (
+    offers = settle(
         sales.withColumn("m", F.explode(F.array_compact(memberships)))
         .select(
-            "m.scope", "m.area", F.col("type_local").alias("property_type"), "sale_id",
-            F.col("surface").alias("sale_surface"), "surface_terrain", "date_mutation", "price", "value", "rooms",
-            "street", "city", "longitude", "latitude",
+            "m.scope", "m.area", F.col("type_local").alias("property_type"), *area[3:], "sale_id",
+            F.col("surface").alias("sale_surface"), "date_mutation", "price", "value",
         )
         .filter(F.col("area").isNotNull())
         .join(wanted.select(*area).distinct(), area, "left_semi")
@@ -351,57 +394,70 @@ def area_samples(
         .withColumn("rank", F.row_number().over(closest))
         .filter(F.col("rank") <= fixed.FETCH_LIMIT)
         .groupBy(*request)
-        .agg(F.sort_array(F.collect_list(_comparable(F.col("rank"), F.lit(None).cast("double")))).alias("sample"))
-    )
-    located = F.transform(
-        "sample",
-        lambda x: x.withField(
-            "distance", geo.distance_m(F.col("lon"), F.col("lat"), x["longitude"], x["latitude"])
-        ),
+        .agg(F.sort_array(F.collect_list(_pick(F.col("rank"), F.lit(None)))).alias("near"))
     )
-    return asked.join(samples, request).select("search_id", "property_type", "attempt_no", located.alias("sample"))
+    return asked, samples
+
+
+def area_samples(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> DataFrame:
+    """The 200 sales closest in surface, newest first, in each search's area."""
+    asked, samples = area_requests(searches, sales, attempts, reference_date)
+    return asked.join(samples, [c for c in samples.columns if c != "near"]).select("search_id", "property_type", "attempt_no", F.col("near").alias("sample"))
+
+
+def _area_outcomes(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str):
+    """As ``_radius_outcomes``; a request is counted once, however many searches share it."""
+    asked, samples = area_requests(searches, sales, attempts, reference_date)
+    samples = settle(samples)
+    request = [c for c in samples.columns if c != "near"]
+    counted = samples.select(*request, F.size("near").alias("fetched"), kept_count(F.col("near")).alias("kept"))
+    counts = asked.join(counted, request).select("search_id", "property_type", "attempt_no", "fetched", "kept")
+
+    def picks(first: DataFrame) -> DataFrame:
+        return asked.join(first, ["search_id", "attempt_no"]).join(samples, request).select("search_id", "attempt_no", F.col("near").alias("picks"))
+
+    return counts, picks
 
 
 # --- The cascade ------------------------------------------------------------
 
 
-def _judge(samples: DataFrame) -> DataFrame:
-    """Fetched, kept and required counts; the sample stays only where accepted."""
+def _stage(searches: DataFrame, *parts) -> tuple[DataFrame, DataFrame]:
+    """Counts of a stage's attempts with the sales of each search's first accepted one, and the searches left open."""
     minimums = F.create_map(*[F.lit(x) for a in PLAN for x in (a.number, a.minimum)])
-    cleaned = clean_samples(samples).withColumn("required", required_count(minimums[F.col("attempt_no")]))
-    accepted = F.size("kept") >= F.col("required")
-    return cleaned.select(
-        "search_id", "attempt_no", F.size("sample").alias("fetched"), F.size("kept").alias("kept"), "required",
-        accepted.alias("accepted"), F.when(accepted, F.col("sample")).alias("sample"),
-    )
+    counts = reduce(DataFrame.unionByName, [counts for counts, _ in parts])
+    counts = counts.withColumn("required", required_count(minimums[F.col("attempt_no")])).withColumn("accepted", F.col("kept") >= F.col("required"))
+    counts = settle(counts.drop("property_type"))
+    first = settle(first_accepted(counts).withColumnRenamed("accepted_no", "attempt_no"))
+    picks = reduce(DataFrame.unionByName, [picks(first) for _, picks in parts])
+    outcomes = settle(counts.join(picks, ["search_id", "attempt_no"], "left"))
+    return outcomes, settle(searches.join(first, "search_id", "left_anti"))
 
 
 def find_comparables(searches: DataFrame, sales: DataFrame, reference_date: str) -> DataFrame:
     """Outcome of every attempt that returned sales, per search.
 
     ``searches``: search_id, lon, lat, code_insee, code_epci, code_departement,
-    code_region, densite_grille, property_type, surface, ref_med.  ``sales``:
-    see ``searchable_sales``.  Attempts after a settled stage are not run.
+    code_region, densite_grille, property_type, surface, ref_med; in a replay
+    also ``as_of``, the day a search looks back from.  ``sales``: see
+    ``searchable_sales``; in a replay with ``meds``, the commune's median by
+    day.  Attempts are counted first; ``picks`` holds the sales of the first
+    accepted one alone.  Attempts after a settled stage are not run.
     """
-    sales, searches = settle(sales), settle(searches)
+    sales, open_ = settle(sales), settle(searches)
+    stages = []
     radius = [a for a in PLAN if a.level == "radius"]
-    quick = [a for a in radius if a.number <= 2]
-    first = settle(_judge(radius_samples(searches, sales, quick, reference_date)))
-
-    open_ = searches.join(first.filter("accepted").select("search_id"), "search_id", "left_anti")
-    open_ = settle(open_)
-    later = [a for a in radius if a.number > 2]
-    communes = [a for a in PLAN if a.level == "commune" and a.number < 19]
-    second = settle(
-        _judge(radius_samples(open_, sales, later, reference_date)).unionByName(
-            _judge(area_samples(open_, sales, communes, reference_date))
-        )
-    )
-
-    open_ = settle(open_.join(second.filter("accepted").select("search_id"), "search_id", "left_anti"))
-    wider = [a for a in PLAN if a.number >= 19]
-    third = settle(_judge(area_samples(open_, sales, wider, reference_date)))
-    return first.unionByName(second).unionByName(third)
+    areas = [a for a in PLAN if a.level != "radius"]
+    for near, wide in (
+        ([a for a in radius if a.number <= 2], []),
+        ([a for a in radius if a.number > 2], [a for a in areas if a.number < 19]),
+        ([], [a for a in areas if a.number >= 19]),
+    ):
+        parts = [_radius_outcomes(open_, sales, near, reference_date)] if near else []
+        parts += [_area_outcomes(open_, sales, wide, reference_date)] if wide else []
+        outcomes, open_ = _stage(open_, *parts)
+        stages.append(outcomes)
+    return reduce(DataFrame.unionByName, stages)
 
 
 def first_accepted(outcomes: DataFrame) -> DataFrame:
@@ -410,22 +466,32 @@ def first_accepted(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def chosen_samples(searches: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The sample of the first accepted attempt, with the attempt's settings."""
-    chosen = (
-        outcomes.join(first_accepted(outcomes), "search_id")
-        .filter(F.col("attempt_no") == F.col("accepted_no"))
-        .select("search_id", "attempt_no", "sample")
+def with_sales(picked: DataFrame, searches: DataFrame, sales: DataFrame) -> DataFrame:
+    """Picked sales (search_id, property_type, x and more) with the rest of their columns and their distance."""
+    places = searches.select("search_id", "property_type", F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"))
+    whole = sales.select(
+        "sale_id", F.col("type_local").alias("property_type"), F.col("surface").cast("double").alias("surface"), F.col("surface_terrain").cast("double").alias("land"),
+        F.col("date_mutation").alias("date"), "price", "value", "rooms", "street", "city", "longitude", "latitude",
     )
+    rows = picked.select(*[c for c in picked.columns if c != "x"], "x.rank", "x.sale_id", F.col("x.distance").alias("near"))
+    rows = rows.join(places, ["search_id", "property_type"]).join(whole, ["sale_id", "property_type"])
+    distance = geo.distance_m(F.col("at_lon"), F.col("at_lat"), F.col("longitude"), F.col("latitude"))
+    return rows.withColumn("distance", F.coalesce("near", distance)).drop("near", "at_lon", "at_lat")
+
+
+def chosen_samples(searches: DataFrame, outcomes: DataFrame, sales: DataFrame) -> DataFrame:
+    """The sample of the first accepted attempt, with the attempt's settings.
+
+    Only here do the picked sales get the rest of their columns.
+    """
+    picked = outcomes.filter(F.col("picks").isNotNull()).select("search_id", "attempt_no", F.explode("picks").alias("x"))
+    picked = picked.join(searches.select("search_id", "property_type"), "search_id")
+    sale = F.struct("rank", "sale_id", "surface", "land", "date", "price", "value", "rooms", "street", "city", "longitude", "latitude", "distance")
+    sampled = with_sales(picked, searches, sales).groupBy("search_id", "attempt_no", "property_type").agg(F.sort_array(F.collect_list(sale)).alias("sample"))
     settings = F.filter(plan_table(), lambda a: a["attempt_no"] == F.col("attempt_no"))[0]
-    return (
-        searches.select("search_id", "property_type")
-        .join(chosen, "search_id")
-        .withColumn("a", settings)
-        .select(
-            "search_id", "attempt_no", "a.level", "a.radius_m", "a.window_months",
-            F.round(tolerance(F.col("a.wide")) * 100).cast("int").alias("tolerance_pct"), "a.widened", "sample",
-        )
+    return sampled.withColumn("a", settings).select(
+        "search_id", "attempt_no", "a.level", "a.radius_m", "a.window_months",
+        F.round(tolerance(F.col("a.wide")) * 100).cast("int").alias("tolerance_pct"), "a.widened", "sample",
     )
 
 

@@ -92,6 +92,49 @@ def land_price(places: DataFrame, land: DataFrame, reference_date: str) -> DataF
     )
 
 
+# --- The market as it was -----------------------------------------------------
+
+
+def monthly_counters(sales: DataFrame, surface_band: bool) -> DataFrame:
+    """code_insee, code_departement, type_local, tranche_surface, month, price, n of the counted sales."""
+    band = F.expr("surface_bati div 20 * 20").cast("int") if surface_band else F.lit(None).cast("int")
+    return _priced(sales).groupBy(
+        "code_insee", "code_departement", F.col("type_local") if surface_band else F.lit("terrain").alias("type_local"), band.alias("tranche_surface"),
+        F.trunc("date_mutation", "month").alias("month"), F.col("prix_m2").cast("double").alias("price"),
+    ).agg(F.count("*").alias("n"))
+
+
+def _before(counters: DataFrame, days: list[str], months: int | None = None) -> DataFrame:
+    """Counters repeated for each of the days (firsts of months) that they were known on."""
+    day = F.explode(F.array(*[F.lit(d).cast("date") for d in days]))
+    known = counters.withColumn("as_of", day).where(F.col("month") < F.col("as_of"))
+    return known if months is None else known.where(F.col("month") >= F.add_months("as_of", -months))
+
+
+def medians_as_of(built: DataFrame, land: DataFrame, days: list[str]) -> DataFrame:
+    """code_insee, type_local, as_of, med: the guard medians as they were on each day.
+
+    ``built`` and ``land`` are monthly counters; whole months before a day count.
+    """
+    bands = _before(built, days).groupBy("as_of", "code_insee", "type_local", "tranche_surface").agg(F.sum("n").alias("n"), F.percentile("price", F.lit(0.5), F.col("n")).alias("q"))
+    weighted = F.sum(money(F.col("q")) * F.col("n")).cast("double") / F.sum("n")
+    houses = bands.groupBy("code_insee", "type_local", "as_of").agg(weighted.alias("med"))
+    plots = _before(land, days).groupBy("code_insee", "type_local", "as_of").agg(F.percentile("price", F.lit(0.5), F.col("n")).alias("med"))
+    return houses.unionByName(plots)
+
+
+def land_price_as_of(places: DataFrame, land: DataFrame, days: list[str]) -> DataFrame:
+    """``places`` (code_insee, code_departement, as_of) with the land price of the months before."""
+    recent = _before(land, days, fixed.LAND_MEDIAN_MONTHS)
+
+    def medians(scope: str, name: str) -> DataFrame:
+        rows = recent.where(F.col(scope).isNotNull()).groupBy("as_of", scope).agg(F.percentile("price", F.lit(0.5), F.col("n")).alias(name), F.sum("n").alias("n"))
+        return rows.where(F.col("n") >= fixed.LAND_MEDIAN_MIN_SALES).drop("n")
+
+    joined = places.join(medians("code_insee", "own"), ["as_of", "code_insee"], "left").join(medians("code_departement", "around"), ["as_of", "code_departement"], "left")
+    return joined.withColumn("land_price", F.coalesce("own", "around")).drop("own", "around")
+
+
 def quarter_label(date: Column) -> Column:
     return F.concat(F.year(date), F.lit("-T"), F.quarter(date))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline import fixed_values as fixed
-from plotline.functions.numbers import sorted_quantile
+from plotline.functions.numbers import bind, sorted_quantile
 
 
 def _by_type(index: int) -> Column:
@@ -83,6 +83,28 @@ def clean_samples(samples: DataFrame) -> DataFrame:
     )
 
 
+def within_bounds(price: Column, surface: Column, value: Column) -> Column:
+    """Whether a sale is inside the absolute bounds of its type (``property_type``)."""
+    price_min, price_max, surface_min, surface_max = (_by_type(i) for i in range(4))
+    fine = price.isNotNull() & ~F.isnan(price) & price.between(price_min, price_max) & surface.between(surface_min, surface_max)
+    return F.coalesce(fine & (value.isNull() | value.between(fixed.SALE_VALUE_MIN, fixed.SALE_VALUE_MAX)), F.lit(False))
+
+
+def kept_count(picks: Column) -> Column:
+    """How many sales ``clean_samples`` keeps of an array of (price, fine)."""
+
+    def clipped(ordered: Column) -> Column:
+        def fence(q: Column) -> Column:
+            low, high = q["a"] - 1.5 * (q["b"] - q["a"]), q["b"] + 1.5 * (q["b"] - q["a"])
+            return F.size(F.filter(ordered, lambda v: v.between(low, high)))
+
+        quartiles = F.struct(sorted_quantile(ordered, 0.25).alias("a"), sorted_quantile(ordered, 0.75).alias("b"))
+        return F.when(F.size(ordered) >= 4, bind(quartiles, fence)).otherwise(F.size(ordered))
+
+    prices = F.array_sort(F.transform(F.filter(picks, lambda x: x["fine"]), lambda x: x["price"]))
+    return F.least(F.lit(fixed.SAMPLE_CAP), bind(prices, clipped))
+
+
 def rejected_map() -> Column:
     """Non-zero reject counters as a map."""
     counters = [
