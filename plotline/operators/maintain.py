@@ -28,17 +28,25 @@ def upsert_counts(target: DataFrame, batch: DataFrame, keys: list[str] = KEYS) -
 SCOPE = ["code_departement", "source_annee"]
 
 
-def merge_import(target: DataFrame, batch: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def merge_import(target: DataFrame, batch: DataFrame, scope: DataFrame | None = None, current_files: DataFrame | None = None) -> DataFrame:
     """Upsert, then mark what the imported departments and vintages no longer contain.
 
     ``scope`` names the departments and vintages that the import covers, also
     those of which no sale was kept; without it, those of the batch.  A row kept
     again carries the batch's own mark, so marks heal themselves.  The vintage
-    keeps older years out of reach.
+    keeps older years out of reach.  Where a department's files arrive over
+    several imports, ``current_files`` (department, vintage, import_file) names
+    those that count: rows that any of them has brought are not stale.
     """
     scope = (batch if scope is None else scope).select(*SCOPE).distinct().withColumn("in_scope", F.lit(True))
     untouched = target.join(batch.select(*KEYS), KEYS, "left_anti").join(scope, SCOPE, "left")
     stale = F.coalesce(F.col("in_scope"), F.lit(False))
+    if current_files is not None:
+        if "import_file" not in target.columns:
+            untouched = untouched.withColumn("import_file", F.lit(None).cast("string"))
+        counted = current_files.select(*SCOPE, "import_file").distinct().withColumn("counts", F.lit(True))
+        untouched = untouched.join(counted, [*SCOPE, "import_file"], "left")
+        stale &= F.col("counts").isNull()
     marked = untouched.withColumns(
         {
             "is_outlier": F.col("is_outlier") | stale,
@@ -48,7 +56,17 @@ def merge_import(target: DataFrame, batch: DataFrame, scope: DataFrame | None =
     return marked.select(*batch.columns).unionByName(batch)
 
 
-def write_import(target_path: str, batch: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def complete_scopes(manifest: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Departments and vintages of which every file that the manifest names has arrived.
+
+    ``manifest``: department, vintage, import_file; ``arrived``: import_file.
+    """
+    here = arrived.select("import_file").distinct().withColumn("here", F.lit(1))
+    files = manifest.select(*SCOPE, "import_file").distinct().join(here, "import_file", "left")
+    return files.groupBy(*SCOPE).agg(F.count("*").alias("files"), F.count("here").alias("arrived")).where("files = arrived").select(*SCOPE)
+
+
+def write_import(target_path: str, batch: DataFrame, scope: DataFrame | None = None, current_files: DataFrame | None = None) -> DataFrame:
     """Merge an import into a table partitioned by sale year; returns one row of counts.
 
     Only the years of the batch, or of rows its scope may mark, are read and
@@ -69,7 +87,7 @@ def write_import(target_path: str, batch: DataFrame, scope: DataFrame | None = N
     years = batch.select("annee").union(target.join(scope, SCOPE, "left_semi").select("annee")).distinct()
     touched = [row.annee for row in years.collect()]  # a handful of calendar years
     current = target.filter(F.col("annee").isin(touched))
-    merged = settle(merge_import(current, batch, scope))
+    merged = settle(merge_import(current, batch, scope, current_files))
     fresh = current.filter(~F.col("exclusion_reason").eqNullSafe(STALE)).select(*KEYS)
     marked = merged.filter(F.col("exclusion_reason") == STALE).join(fresh, KEYS, "left_semi")
     counts = settle(

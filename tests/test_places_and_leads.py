@@ -11,7 +11,6 @@ from plotline.operators import leads as le
 from plotline.operators import maintain as ma
 from plotline.operators import market as mk
 from plotline.operators import places as pl
-from plotline.operators.skew import slice_hot_keys
 
 
 def one(df, *columns):
@@ -120,13 +119,3 @@ def test_changed_rules_import_again(spark):
     )
     left = lambda v: sorted(r.code_departement for r in ma.files_to_import(files, log, v).collect())
     assert left(1) == ["87"] and left(2) == ["19", "23", "87"]
-
-
-def test_sliced_hot_key_keeps_every_pair_once(spark):
-    left = spark.range(40).select(F.col("id").alias("l"), F.when(F.col("id") < 30, 0).otherwise(F.col("id")).alias("k"))
-    right = spark.range(90).select(F.col("id").alias("r"), F.when(F.col("id") < 80, 0).otherwise(F.col("id")).alias("k"))
-    a, b, keys = slice_hot_keys(left, right, ["k"], "l", "r", rows_per_slice=7)
-    assert len(keys) == 3
-    sliced = a.join(b, keys).select("l", "r")
-    plain = left.join(right, "k").select("l", "r")
-    assert sliced.count() == plain.count() and sliced.exceptAll(plain).isEmpty()
