@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +42,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             start = stop
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, memory that the task has freed goes back to the machine, for workers wait idle."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append(docs: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], limit: int = SLICE_BYTES) -> DataFrame:
     """``docs`` and the columns that a task's worker makes of each slice.
 
@@ -56,4 +66,4 @@ def append(docs: DataFrame, text: str, fields: list[StructField], make: Callable
             made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(work(part), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, *fields]))
+    return base.mapInArrow(lambda batches: released(run(batches)), StructType([*base.schema.fields, *fields]))
