@@ -24,12 +24,17 @@ SITE = "site.example"
 _EMAIL = "trim(coalesce(email, ''))"
 
 
+#: The two nested hashes of the keyed hash, over the padded key "secret".
+_PADS = [bytes(b ^ pad for b in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
 @query(
     "P02_P03_keyed_hashes",
-    None,
+    f"""SELECT event_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(trim(ip))))) AS ip_hmac,
+        CASE WHEN trim(user_agent) <> '' THEN sha256(trim(user_agent)) END AS ua_hash FROM hit_rows""",
 )
 def keyed_hashes(spark, d):
-    """Keyed hash of the address and hash of the agent; checked by a test."""
+    """Keyed hash of the address and hash of the agent."""
     return sm.hits(spark, d).select(
         "event_id", privacy.keyed_ip(F.col("ip"), "secret").alias("ip_hmac"),
         privacy.hashed_agent(F.col("user_agent")).alias("ua_hash"),

@@ -12,6 +12,7 @@ from plotline.catalog.maintenance import _folder as cm_folder
 from plotline.functions import numbers as num
 from plotline.operators import market as mk
 from plotline.operators import valuation as va
+from plotline.operators.maintain import append_rows
 from plotline.operators.samples import clean_samples
 from plotline.plans import portfolio as pf
 from plotline.plans.store import value_once
@@ -250,28 +251,31 @@ def coefficient_table(spark, d):
     return va.coefficient_lookup(rows).select(F.explode("k").alias("entry", "value"))
 
 
-@query(
-    "V11_coefficient_sources",
-    f"""WITH wanted AS (
-        SELECT request_id, unnest([('surface.alpha', {_KIND}, 0)]) AS w FROM request_rows
-        UNION ALL SELECT request_id, unnest([('dpe.' || dpe, {_KIND}, 1), ('dpe.' || dpe, 'all', 2)]) FROM request_rows WHERE dpe <> 'unknown'
-        UNION ALL SELECT request_id, unnest([('etat.' || condition, 'all', 3), ('etat.' || condition, {_KIND}, 4)]) FROM request_rows WHERE condition IS NOT NULL
-        UNION ALL SELECT request_id, unnest([('etage.' || {_FLOOR_KEY}, 'appartement', 5), ('etage.' || {_FLOOR_KEY}, 'all', 6)]) FROM request_rows WHERE {_FLOOR_KEY} IS NOT NULL
-        UNION ALL SELECT request_id, unnest([('exterieur.' || {_OUTDOOR_KEY}, 'all', 7), ('exterieur.' || {_OUTDOOR_KEY}, 'appartement', 8)]) FROM request_rows WHERE {_OUTDOOR_KEY} IS NOT NULL
-        UNION ALL SELECT request_id, unnest([('terrain.fallback_ratio', 'all', 9)]) FROM request_rows WHERE terrain_size > 0),
-      hit AS (SELECT request_id, w[1] AS cle, w[2] AS type_bien, w[3] AS position, value FROM wanted JOIN coefficients c ON c.cle = w[1] AND c.type_bien = w[2]
-        QUALIFY row_number() OVER (PARTITION BY request_id, w[1] ORDER BY w[3]) = 1)
-      SELECT request_id, string_agg(cle || '|' || type_bien, ';' ORDER BY position) AS sources FROM hit GROUP BY 1""",
-)
+part("applied", """SELECT request_id, 'comparables' AS kind, k_surface, k_floor, k_outdoor, k_condition, k_dpe, k_total, clamped, land_value, land_price IS NULL AND land_value <> 0 AS fallback, n, radius_m, window_months, reference_price FROM valued
+  UNION ALL SELECT request_id, 'reference-table', k_surface, k_floor, k_outdoor, k_condition, k_dpe, k_total, clamped, 0, false, 0, NULL, NULL, reference_price FROM reference_valued""")
+part("applied_sources", f"""
+  WITH asked AS (SELECT l.*, a.fallback FROM located l JOIN applied a USING (request_id)),
+  wanted AS (
+    SELECT request_id, unnest([('surface.alpha', {_KIND}, 0)]) AS w FROM asked
+    UNION ALL SELECT request_id, unnest([('dpe.' || dpe, {_KIND}, 1), ('dpe.' || dpe, 'all', 2)]) FROM asked WHERE dpe <> 'unknown'
+    UNION ALL SELECT request_id, unnest([('etat.' || condition, 'all', 3), ('etat.' || condition, {_KIND}, 4)]) FROM asked WHERE condition IS NOT NULL
+    UNION ALL SELECT request_id, unnest([('etage.' || {_FLOOR_KEY}, 'appartement', 5), ('etage.' || {_FLOOR_KEY}, 'all', 6)]) FROM asked WHERE {_FLOOR_KEY} IS NOT NULL
+    UNION ALL SELECT request_id, unnest([('exterieur.' || {_OUTDOOR_KEY}, 'all', 7), ('exterieur.' || {_OUTDOOR_KEY}, 'appartement', 8)]) FROM asked WHERE {_OUTDOOR_KEY} IS NOT NULL
+    UNION ALL SELECT request_id, unnest([('terrain.fallback_ratio', 'all', 9)]) FROM asked WHERE fallback),
+  hit AS (SELECT request_id, w[1] AS cle, w[2] AS type_bien, w[3] AS position, value FROM wanted JOIN coefficients c ON c.cle = w[1] AND c.type_bien = w[2]
+    QUALIFY row_number() OVER (PARTITION BY request_id, w[1] ORDER BY w[3]) = 1)
+  SELECT request_id, string_agg(cle || '|' || type_bien, ';' ORDER BY position) AS sources FROM hit GROUP BY 1""")
+
+
+def _listed(sources):
+    return F.array_join(F.transform(sources, lambda s: F.concat_ws("|", s["cle"], s["type_bien"])), ";")
+
+
+@query("V11_coefficient_sources", "SELECT request_id, sources FROM applied_sources")
 def coefficient_sources(spark, d):
-    asked = (
-        sm.requests(spark, d)
-        .withColumn("is_top_floor", F.lit(None).cast("boolean"))
-        .withColumn("land_fallback_used", F.coalesce(F.col("terrain_size") > 0, F.lit(False)))
-    )
-    found = va.coefficient_sources(asked, va.coefficient_rows(spark))
-    text = F.array_join(F.transform("sources", lambda s: F.concat_ws("|", s["cle"], s["type_bien"])), ";")
-    return found.select("request_id", text.alias("sources"))
+    """The reference rows behind each value, as the portfolio names them."""
+    found = portfolio(spark, d)["results"].where(F.col("sources").isNotNull())
+    return found.select("request_id", _listed("sources").alias("sources"))
 
 
 @query(
@@ -320,17 +324,39 @@ def portfolio_values(spark, d):
 
 @query(
     "V20_result_rows",
-    """SELECT l.request_id, v.value, v.low AS range_low, v.score, v.kind, coalesce(v.level, CASE WHEN v.kind = 'reference-table' THEN 'departement-reference' ELSE 'national' END) AS level,
-       l.commune AS city, l.precision, CASE WHEN l.has_dvf THEN 'dvf' ELSE 'no-dvf' END AS coverage FROM located l JOIN all_valued v USING (request_id)""",
+    f"""SELECT l.request_id, v.value, v.low AS range_low, v.high AS range_high, v.price_m2, v.score, {_LABEL} AS label, v.kind, coalesce(v.level, CASE WHEN v.kind = 'reference-table' THEN 'departement-reference' ELSE 'national' END) AS level,
+       a.radius_m, a.window_months, coalesce(a.n, 0) AS n, {_r('a.reference_price')} AS reference_price, CASE WHEN v.value IS NOT NULL THEN 1 END AS time_factor,
+       a.k_surface, a.k_floor, a.k_outdoor, a.k_condition, a.k_dpe, a.k_total, a.clamped, coalesce(s.sources, '') AS sources, coalesce({_step('a.land_value')}, 0) AS land_value,
+       l.commune AS city, l.precision, CASE WHEN l.has_dvf THEN 'dvf' ELSE 'no-dvf' END AS coverage, CASE WHEN v.kind <> 'reference-table' THEN '2001-T2' END AS index_quarter, CASE WHEN v.kind <> 'reference-table' THEN '2001-07-15' END AS published_on
+       FROM located l JOIN all_valued v USING (request_id) LEFT JOIN applied a USING (request_id) LEFT JOIN applied_sources s USING (request_id)""",
 )
 def result_rows(spark, d):
     p = portfolio(spark, d)
-    return pf.assemble(p["results"], p["located"]).select(
-        "request_id", "value", F.col("range.low").alias("range_low"), "confidence.score", "method.kind", "method.level",
-        "location.city", "location.precision", "source.coverage",
+    status = spark.createDataFrame([("2001-07-15", None, "2001-T2")], "published_on string, last_import_at string, index_quarter string").withColumns(
+        {"published_on": F.col("published_on").cast("date"), "last_import_at": F.col("last_import_at").cast("timestamp")})
+    m, k = "method", "method.coefficients"
+    return pf.assemble(p["results"], p["located"], status).select(
+        "request_id", "value", F.col("range.low").alias("range_low"), F.col("range.high").alias("range_high"), "price_m2", "confidence.score", "confidence.label", f"{m}.kind", f"{m}.level",
+        f"{m}.radius_m", f"{m}.window_months", f"{m}.n", tidy(F.col(f"{m}.reference_price"), 4).alias("reference_price"), f"{m}.time_factor",
+        *[f"{k}.{c}" for c in ("k_surface", "k_floor", "k_outdoor", "k_condition", "k_dpe", "k_total", "clamped")], _listed(F.col(f"{m}.coefficient_sources")).alias("sources"), f"{m}.land_value",
+        "location.city", "location.precision", "source.coverage", "source.index_quarter", F.col("source.published_on").cast("string").alias("published_on"),
     )
 
 
+_ANSWERED = "request_id % 13 <> 0"
+
+
+@query(
+    "V22_result_statuses",
+    f"""SELECT request_id, CASE WHEN NOT {_ANSWERED} THEN 'static-fallback' WHEN value IS NULL THEN 'deferred' ELSE 'ok' END AS with_static, CASE WHEN NOT {_ANSWERED} OR value IS NULL THEN 'deferred' ELSE 'ok' END AS without
+        FROM all_valued""",
+)
+def result_statuses(spark, d):
+    """Answered with and without a value, and not answered at all."""
+    rows, answered = portfolio(spark, d)["results"], F.expr(_ANSWERED)
+    return rows.select("request_id", va.result_status(answered, F.col("value")).alias("with_static"), va.result_status(answered, F.col("value"), "none").alias("without"))
+
+
 @query(
     "V21_V22_four_numbers",
     """SELECT request_id, price_m2 AS "prixM2", low AS "estimationMin", value AS "estimationMoyenne", high AS "estimationMax", 'ok' AS status
@@ -409,17 +435,25 @@ _LOGGED = """SELECT request_id, property_type, surface, concat('10.1.', CAST(req
   CASE WHEN request_id % 5 = 0 THEN ' ' ELSE 'agent' END AS user_agent FROM {rows}"""
 
 
+_PADS = [bytes(b ^ pad for b in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+_KEYED_IP = f"sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(ip))))"
+
+
 @query(
     "S10_anonymous_log",
-    f"""WITH p AS (SELECT l.*, v.* EXCLUDE (request_id), CASE WHEN v.kind = 'not-supported' THEN l.city_code ELSE coalesce(l.city_code, l.code_insee) END AS code
-          FROM located l JOIN all_valued v ON v.request_id = l.request_id)
-        SELECT code AS code_insee, coalesce(CASE WHEN left(code, 2) IN ('97', '98') THEN left(code, 3) ELSE left(code, 2) END, {places._DEP_POSTCODE.format('postal_code')}) AS code_departement,
-        property_type AS type_bien, floor(surface + 0.5)::INT AS surface, kind AS method_kind,
+    f"""WITH p AS (SELECT l.*, v.* EXCLUDE (request_id), a.n, a.radius_m, CASE WHEN v.kind = 'not-supported' THEN l.city_code ELSE coalesce(l.city_code, l.code_insee) END AS code
+          FROM located l JOIN all_valued v ON v.request_id = l.request_id LEFT JOIN applied a ON a.request_id = l.request_id)
+        SELECT run, code AS code_insee, coalesce(CASE WHEN left(code, 2) IN ('97', '98') THEN left(code, 3) ELSE left(code, 2) END, {places._DEP_POSTCODE.format('postal_code')}) AS code_departement,
+        p.property_type AS type_bien, floor(p.surface + 0.5)::INT AS surface, kind AS method_kind, radius_m, coalesce(n, 0) AS n_comparables,
         level AS method_level, score AS confidence, CASE WHEN value IS NOT NULL THEN low END AS value_low, value AS value_mid, CASE WHEN value IS NOT NULL THEN high END AS value_high, price_m2,
-        CASE WHEN request_id % 5 <> 0 THEN sha256('agent') END AS ua_hash FROM p""",
+        {_KEYED_IP} AS ip_hmac, CASE WHEN p.request_id % 5 <> 0 THEN sha256('agent') END AS ua_hash, '2001-08-01' AS created_on
+        FROM p JOIN ({_LOGGED.format(rows='request_rows')}) q ON q.request_id = p.request_id CROSS JOIN (VALUES (1), (2)) t(run)""",
 )
 def anonymous_log(spark, d):
-    p = portfolio(spark, d)
+    """The log after two days of valuations, read back."""
+    path, p = cm_folder(spark, "valuation-log"), portfolio(spark, d)
     asked = spark.sql(_LOGGED, rows=sm.requests(spark, d))
     log = pf.anonymous_log(p["results"], asked, p["located"], "secret", F.lit(TODAY).cast("timestamp"))
-    return log.drop("radius_m", "n_comparables", "ip_hmac", "created_at")
+    for run in (1, 2):
+        append_rows(log.withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path).withColumn("created_on", F.date_format("created_at", "yyyy-MM-dd")).drop("created_at")
