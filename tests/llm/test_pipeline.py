@@ -150,3 +150,26 @@ def test_stages(spark, tmp_path):
     assert last.keys() == kept[4].keys() == kept[3].keys()
     for d, ids in last.items():
         assert library.decode(ids) == kept[4][d]
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, empty, long and repeated texts, an empty table, and extra columns with the operators' own names."""
+    secret = "password = aGVsbG8gd29ybGQgMTIz"
+    texts = [None, "", "   ", "one", "one", f"before {secret} after", "word " * 40_000, spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text]
+    rows = [(None if i == 3 else i % 6, t, None if i % 2 else "en", None, None if t is None else len(t), 42, "x", "s", 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int, secrets string, _sure_spans string, row int")
+    path = f"{tmp_path}/docs"
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        found = out.collect()
+        if name == "token_ids":
+            assert len(found) == len(rows)
+            continue
+        assert out.columns == docs.columns
+        assert all((r.n_words, r.secrets, r._sure_spans, r.row) == (42, "x", "s", 7) for r in found)
+        assert len(found) == {"without_benchmark": 7, "near_duplicates": 7}.get(name, len(rows)) or name == "trusted_quality"
+        if name == "without_secrets":
+            assert [r.n_chars for r in found if r.text and "[SECRET]" in r.text] == [len("before [SECRET] after")]
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
