@@ -60,3 +60,21 @@ def test_a_board_looks_back_a_day(spark):
     rows = sorted(board.collect(), key=lambda r: r.until)
     assert [(r.n, r.deferred, r.levels["radius"], r.levels["none"], r.confidence[9], r.p95_ms, r.too_slow, r.too_many_deferred) for r in rows] == [
         (1, 0.0, 1, 0, 1, 100, False, False), (2, 0.5, 1, 1, 1, 100, False, True), (2, 0.5, 0, 1, 1, 2000, True, True)]
+
+
+def test_lines_keep_their_order_over_blocks(spark):
+    from plotline import fixed_values as fixed
+    from plotline.sources.files import read_sale_files
+
+    path = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines = spark.range(20_000).coalesce(1).select(*[(F.col("id") if i == 0 else F.lit("x")).cast("string").alias(c) for i, c in enumerate(fixed.SALE_LINE_COLUMNS)])
+    lines.write.option("header", True).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        found = read_sale_files(spark, path)
+        assert found.rdd.getNumPartitions() > 5
+        ordered = [int(r[0]) for r in found.orderBy("ord").select(fixed.SALE_LINE_COLUMNS[0]).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ordered == list(range(20_000))
