@@ -40,17 +40,24 @@ def time_factors(spark, d):
     return rows.select("sale_id", tidy(F.col("time_factor"), 6).alias("time_factor"), "index_level")
 
 
-@query(
-    "X02_statistical_outliers",
-    """WITH g AS (SELECT code_insee, type_local, year(date_mutation) AS y, quantile_cont(prix_m2, 0.25) AS q1, quantile_cont(prix_m2, 0.75) AS q3 FROM sales
-         WHERE NOT is_outlier GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+def _fenced(least: int) -> str:
+    return f"""WITH g AS (SELECT code_insee, type_local, year(date_mutation) AS y, quantile_cont(prix_m2, 0.25) AS q1, quantile_cont(prix_m2, 0.75) AS q3 FROM sales
+         WHERE NOT is_outlier GROUP BY 1, 2, 3 HAVING count(*) >= {least})
        SELECT dedup_key, is_outlier OR coalesce(prix_m2 NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1), false) AS is_outlier,
          CASE WHEN NOT is_outlier AND prix_m2 NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN 'iqr_commune' ELSE exclusion_reason END AS exclusion_reason
-       FROM sales s LEFT JOIN g ON g.code_insee = s.code_insee AND g.type_local = s.type_local AND g.y = year(s.date_mutation)""",
-)
+       FROM sales s LEFT JOIN g ON g.code_insee = s.code_insee AND g.type_local = s.type_local AND g.y = year(s.date_mutation)"""
+
+
+@query("X02_statistical_outliers", _fenced(5))
 def statistical_outliers(spark, d):
-    marked = sw.statistical_outliers(cs.sales_table(spark, d), 5)
-    return marked.select("dedup_key", "is_outlier", "exclusion_reason")
+    """Groups from 5 sales on, which the small tables have."""
+    return sw.statistical_outliers(cs.sales_table(spark, d), 5).select("dedup_key", "is_outlier", "exclusion_reason")
+
+
+@query("X02_outliers_of_full_groups", _fenced(30))
+def outliers_of_full_groups(spark, d):
+    """The rule's own least group."""
+    return sw.statistical_outliers(cs.sales_table(spark, d)).select("dedup_key", "is_outlier", "exclusion_reason")
 
 
 @query(

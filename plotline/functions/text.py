@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ def unaccent(c: Column) -> Column:
     return F.translate(c, fixed.ACCENTED, fixed.UNACCENTED)
 
 
+def without_ligatures(c: Column) -> Column:
+    return reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), fixed.LIGATURES.items(), c)
+
+
 def plain_name(c: Column) -> Column:
     return F.trim(F.lower(unaccent(c)))
 

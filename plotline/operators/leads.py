@@ -15,12 +15,13 @@ from plotline.operators.places import department_with_corsica
 def session_attribution(hits: DataFrame, site_host: str) -> DataFrame:
     """Last identified campaign of each session, else its first known touch."""
     block = ev.acquisition(F.col("href"), F.col("referrer"), site_host)
-    touches = hits.select("session_id", "ts", "event_id", block.alias("block")).filter(F.col("block").isNotNull())
-    order = F.struct("ts", "event_id")
+    # null blocks lose by their null order: a filter on the block would parse each address once more
+    touches = hits.select("session_id", "ts", "event_id", block.alias("block"))
+    order = F.when(F.col("block").isNotNull(), F.struct("ts", "event_id"))
     picked = touches.groupBy("session_id").agg(
         F.max_by(F.col("block"), F.when(ev.campaign_touch(F.col("block")), order)).alias("campaign_block"),
         F.min_by(F.col("block"), order).alias("first_block"),
-    )
+    ).filter(F.col("first_block").isNotNull())
     chosen = F.coalesce("campaign_block", "first_block")
     return picked.select("session_id", chosen.alias("block"), ev.channel(chosen).alias("channel"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline import fixed_values as fixed
 from plotline.functions import geo
-from plotline.functions.text import plain_name, similarity, unaccent
+from plotline.functions.text import plain_name, similarity, unaccent, without_ligatures
 
 _COMMUNE = [
     "code_insee", "nom", "code_departement", "code_region", "code_epci", "densite_grille", "has_dvf",
@@ -149,10 +149,11 @@ def nearest_of_postcode(requests: DataFrame, communes: DataFrame) -> DataFrame:
 def best_named(requests: DataFrame, communes: DataFrame) -> DataFrame:
     """Per distinct postcode and city: the commune whose name is closest.
 
-    Equal names give way to population, then to the code.
+    Equal names give way to population, then to the code.  Ligatures of the
+    searched name are folded too, as the communes' names have none.
     """
     names = requests.select("postal_code", "city").distinct()
-    wanted = unaccent(F.lower(F.trim("city")))
+    wanted = without_ligatures(unaccent(F.lower(F.trim("city"))))
     score = similarity(F.col("nom_normalise"), wanted)
     order = F.struct(
         (-score).alias("score"), F.col("population").isNull().alias("unknown"),

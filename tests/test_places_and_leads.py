@@ -40,6 +40,18 @@ def test_similarity(spark):
     assert one(spark.range(1), F.round(text.similarity(F.lit("word"), F.lit("words")), 4)) == (0.5714,)
 
 
+def test_ligatures_of_searched_names(spark):
+    communes = spark.createDataFrame(
+        [("80001", "oeuilly", ["80000"], 10), ("80002", "euilly", ["80000"], 99), ("80003", "weiss", ["80000"], 5)],
+        "code_insee string, nom_normalise string, codes_postaux array<string>, population int",
+    )
+    for name in ("nom", "code_departement", "code_region", "code_epci", "densite_grille", "longitude", "latitude", "has_dvf"):
+        communes = communes.withColumn(name, F.lit(None).cast("string"))
+    asked = spark.createDataFrame([("80000", "Œuilly"), ("80000", "weiß")], "postal_code string, city string")
+    found = {r.city: (r.code_insee, r.score) for r in pl.best_named(asked, communes).collect()}
+    assert found == {"Œuilly": ("80001", 1.0), "weiß": ("80003", 1.0)}
+
+
 def test_distance_is_ellipsoidal(spark):
     got = one(spark.range(1), *[geo.distance_m(F.lit(2.0), F.lit(46.0), F.lit(x), F.lit(y)) for x, y in ((2.0, 46.01), (2.01, 46.0))])
     assert got[0] == pytest.approx(1111.46, abs=0.1) and got[1] == pytest.approx(774.7, abs=0.3)
