@@ -4,7 +4,9 @@ Pages of a host lie in the order of their paths; each is compared with the
 adjacent page whose path starts most alike.  The longest common subsequence of
 their lines is taken away, subject to what the markup says for certain: lines
 of an article stay though a neighbour has them too, lines of menus, notices and
-the like go though no neighbour has them.
+the like go though no neighbour has them.  Pages of a host with the same lines
+are one page, whatever their addresses, and a near copy is no neighbour: what
+copies share is their text, not boilerplate.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from plotline.llm.arrow import slices
 from plotline.llm.runs import piece_number, sorted_pieces
+from plotline.session import settle
 
 # HTML's elements by what they mean for a page's text.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "title", "canvas", "audio", "video"}
@@ -49,6 +53,8 @@ HINTS = {
     "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 OPEN, INSIDE, OUTSIDE = "open", "inside", "outside"
+#: Share of all lines of two pages, from which on they are near copies; parts into which equal pages are dealt.
+COPY, PARTS = 0.8, 32
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.S)
 _HINT = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -183,17 +189,30 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
+def near_copies(a: list[int], b: list[int], shared: int) -> bool:
+    return shared >= COPY * (len(a) + len(b) - shared)
+
+
 def _shared(pages: DataFrame) -> DataFrame:
-    """row, shared: which lines of each page its nearest neighbour has too (pages: row, url, html)."""
+    """row, shared: which lines of each page with a host its nearest neighbour has too (pages: row, url, html)."""
 
     def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
-            rows = [(*place(u), [line_hash(t) for t, _ in lines(h or "")]) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            rows = [(*place(u), np.array([line_hash(t) for t, _ in lines(h or "")], np.int64)) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             hosts, paths, hashes = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["row", "host", "path", "lines"])
-
-    outlines = pages.mapInArrow(outlined, "row long, host string, path string, lines array<long>")
-    pieces = sorted_pieces(outlines, "host", "path", "row")
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(digests, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["row", "host", "path", "digest", "lines"],
+            )
+
+    # Written down, so that each page is parsed once here.
+    outlines = settle(pages.mapInArrow(outlined, "row long, host string, path string, digest binary, lines array<long>"))
+    dealt = outlines.where("host is not null").withColumn("part", F.pmod("row", F.lit(PARTS)))
+    # A group of equal pages of any size is first reduced part by part.
+    parts = dealt.groupBy("host", "digest", "part").agg(F.min(F.struct("path", "row")).alias("first"))
+    firsts = settle(parts.groupBy("host", "digest").agg(F.min("first").alias("first")).select("host", "digest", "first.row"))
+    pieces = sorted_pieces(dealt.join(firsts.select("row"), "row", "left_semi").select("row", "host", "path", "lines"), "host", "path", "row")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
@@ -214,9 +233,10 @@ def _shared(pages: DataFrame) -> DataFrame:
         piece, (before, after) = piece_number(), beyond.value
 
         def told(page, *beside):
-            near = [(_alike(page[2], other[2]), other) for other in beside if other and other[1] is not None and other[1] == page[1]]
             # Of two equally near, the page before.
-            return page[0], common(page[3], max(near, key=lambda x: x[0])[1][3]) if near else []
+            near = sorted((other for other in beside if other and other[1] == page[1]), key=lambda other: -_alike(page[2], other[2]))
+            aligned = ((common(page[3], other[3]), other[3]) for other in near)
+            return page[0], next((same for same, other in aligned if not near_copies(page[3], other, len(same))), [])
 
         def batch(rows):
             ids, shared = zip(*rows, strict=True)
@@ -235,7 +255,10 @@ def _shared(pages: DataFrame) -> DataFrame:
         if made:
             yield batch(made)
 
-    return pieces.mapInArrow(compared, "row long, shared array<int>")
+    # Equal pages share the same lines; they get them part by part too.
+    shared = pieces.mapInArrow(compared, "row long, shared array<int>").join(firsts, "row").drop("row")
+    of_parts = parts.select("host", "digest", "part").join(shared, ["host", "digest"])
+    return dealt.select("host", "digest", "part", "row").join(of_parts, ["host", "digest", "part"]).select("row", "shared")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -247,8 +270,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     the blocks that no neighbour shares.  Menus, forms, adverts, comments and
     the like never are.  ``n_shared`` counts the lines the neighbour has too,
     ``n_restored`` those of them that the markup proves to be text.  Pages
-    without a host have no neighbour; repeated rows are neighbours like others;
-    other columns are ignored.
+    without a host, and those beside near copies only, have no neighbour;
+    repeated rows and pages that were read twice are one page, and each gets its
+    text; other columns are ignored.
     """
     base = pages.select(F.monotonically_increasing_id().alias("row"), F.col(url).alias("url"), F.col(html).alias("html"), F.col(key).alias("id"))
     shared = _shared(base.select("row", "url", "html"))
@@ -259,7 +283,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             out = []
             for page, same in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 found = lines(page or "")
-                alike = set(same)
+                alike = set(same or ())
                 certain = any(state == INSIDE for _, state in found)
                 kept = [(n, t) for n, (t, state) in enumerate(found) if state == INSIDE or (state == OPEN and not certain and n not in alike)]
                 out.append((" ".join(t for _, t in kept), len(found), len(alike), sum(n in alike for n, _ in kept)))
@@ -267,4 +291,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([part.column(0).cast(kinds[0]), part.column(1).cast(kinds[1]), pa.array(text, pa.string()), *[pa.array(x, pa.int64()) for x in (count, number, restored)]], names=["id", "url", "text", "n_lines", "n_shared", "n_restored"])
 
     id_kind = base.schema["id"].dataType.simpleString()
-    return base.join(shared, "row").select("id", "url", "html", "shared").mapInArrow(texts, f"id {id_kind}, url string, text string, n_lines long, n_shared long, n_restored long")
+    return base.join(shared, "row", "left").select("id", "url", "html", "shared").mapInArrow(texts, f"id {id_kind}, url string, text string, n_lines long, n_shared long, n_restored long")

@@ -1,12 +1,15 @@
 """Page differencing: blocks, alignment, neighbours, tables, odd pages."""
 
 import html
+import os
 import random
 import re
+import uuid
 
 import pytest
 
 from plotline.llm import html_pages, queries
+from plotline.session import checkpoint_folder
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -98,5 +101,60 @@ def test_odd_tables(spark):
     rows = [(1, "http://a.b/c", "<p>" + "word " * 40_000), (1, "http://a.b/c", "<p>" + "word " * 40_000), (None, "http://a.b/d", "plain")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = html_pages.extract(frame).collect()
-    assert sorted(len(r.text) for r in got) == [0, 0, 5]
+    assert sorted(len(r.text) for r in got) == [5, 199_999, 199_999]
     assert html_pages.extract(frame.limit(0)).count() == 0
+
+
+def test_copies_and_near_copies_keep_their_text(spark):
+    """A host with a page read under 400 addresses, repeated rows, and near copies between ordinary pages."""
+    page = lambda own: "<div>Top</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>Bottom</div>"
+    rows, want = [], {}
+
+    def add(url, own, text):
+        rows.append((len(rows), url, page(own)))
+        want[len(rows) - 1] = text
+
+    for n in range(20):
+        add(f"http://h.example.com/a/{n:03d}", [f"own {n}", f"more {n}"], f"own {n} more {n}")
+    for n in range(400):
+        add(f"http://h.example.com/b/x?visit={n}" if n % 2 else f"http://h.example.com/b/{n:03d}", ["read", "twice"], "read twice")
+    story = [f"line {i}" for i in range(30)]
+    for n in range(2):
+        add(f"http://h.example.com/c/{n}", [*story, f"edited {n}"], " ".join([*story, f"edited {n}"]))
+    add("http://h.example.com/c/2", ["last"], "last")
+    add("http://k.example.com/1", ["alone"], "Top alone Bottom")
+    add("http://k.example.com/1", ["alone"], "Top alone Bottom")
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    folder = f"{checkpoint_folder(spark)}/copies-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    got = {r.id: r.text for r in html_pages.extract(spark.read.parquet(folder)).collect()}
+    assert got == want
+
+
+def test_pairing_against_brute_force(spark):
+    """Shared lines of every page of a random site, against all pages of its host compared in order."""
+    rnd = random.Random(8)
+    rows = []
+    for n in range(300):
+        host, boiler = rnd.randrange(3), rnd.randrange(2)
+        own = [f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(6))]
+        body = "".join(f"<p>{x}</p>" for x in [f"top {host} {boiler}", *own, f"end {host}", *(["more"] * boiler)])
+        rows.append((n, f"http://h{host}.example.com/{rnd.randrange(9)}/{rnd.randrange(30)}?{n}", body))
+    path = f"{checkpoint_folder(spark)}/site-{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).sortWithinPartitions("page_id").write.parquet(path)
+    got = {r.id: r.n_shared for r in html_pages.extract(spark.read.parquet(path)).collect()}
+    outline = {n: (*html_pages.place(url), tuple(t for t, _ in html_pages.lines(body))) for n, url, body in rows}
+    firsts = {}
+    for n in sorted(outline, key=lambda n: (outline[n][1], n)):
+        firsts.setdefault((outline[n][0], outline[n][2]), n)
+    order = sorted(firsts.values(), key=lambda n: (outline[n][0], outline[n][1], n))
+    for n, (host, _, own) in outline.items():
+        first = firsts[host, own]
+        at, best = order.index(first), []
+        for beside in (at - 1, at + 1):
+            if 0 <= beside < len(order) and outline[order[beside]][0] == host:
+                other = outline[order[beside]]
+                same = len(html_pages.common(list(own), list(other[2])))
+                if same < 0.8 * (len(own) + len(other[2]) - same):
+                    best.append((-len(os.path.commonprefix([outline[first][1], other[1]])), beside, same))
+        assert got[n] == (min(best)[2] if best else 0)
