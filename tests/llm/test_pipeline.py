@@ -89,6 +89,20 @@ def test_toxic_passages_in_long_texts(spark):
     assert long[1] > 10 and long[0] < 0.1
 
 
+def test_thresholds_of_languages_against_brute_force(spark):
+    limits = spark.createDataFrame([("en", 20.0, 3.0, 500), ("fr", 50.0, 4.0, 5), ("", 9.0, 1.0, 1)], "lang string, threshold double, passage_threshold double, n long")
+    for r, n in zip(quality.shrunk(limits, 30.0, 3.5, 5).collect(), (500, 5, 1), strict=True):
+        own, passage = {"en": (20, 3), "fr": (50, 4), "": (9, 1)}[r.lang]
+        assert r.threshold == pytest.approx((own**n * 30**5) ** (1 / (n + 5)) if n < 100 else math.exp((n * math.log(own) + 5 * math.log(30)) / (n + 5)))
+        assert r.passage_threshold == pytest.approx((n * passage + 5 * 3.5) / (n + 5))
+    # One trusted text of a language: no switch, and few texts do not decide alone.
+    docs = spark.createDataFrame([(i, "the quick brown fox " * (i % 7 + 1), "en" if i else "xx") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.range(60).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    judge, _ = quality.train(docs, labels)
+    found = {r.lang: r for r in judge.limits.collect()}
+    assert set(found) <= {"en", "xx"} and found["en"].threshold == pytest.approx(judge.other[0], rel=0.1)
+
+
 @pytest.mark.parametrize("window", [1, 3])
 def test_worst_passage_against_brute_force(window):
     texts = ["a bb  ccc\td", "", " ", "  lead word", "one", "x y z w v ", "\n", "tail\n\n"]
