@@ -1,7 +1,9 @@
 """Counters, boards and funnels that merge."""
 
+import contextlib
 import datetime
 import glob
+import io
 import os
 import uuid
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from plotline.operators import band_state as bs
 from plotline.operators import market as mk
 from plotline.operators import second_wave as sw
-from plotline.session import checkpoint_folder
+from plotline.session import checkpoint_folder, settle
 
 SALES = "code_insee string, type_local string, surface_bati int, prix_m2 double, date_mutation date, is_outlier boolean"
 
@@ -78,3 +80,21 @@ def test_lines_keep_their_order_over_blocks(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert ordered == list(range(20_000))
+
+
+def _plan(rows):
+    with contextlib.redirect_stdout(said := io.StringIO()):
+        rows.explain()
+    return said.getvalue()
+
+
+def test_a_copy_that_is_large_in_memory_is_not_broadcast(spark):
+    # twenty thousand samples of fifty sales: 2 MB on disk at most, 50 times as much in memory
+    pick = F.struct(F.col("id").alias("rank"), F.lit(1.0).alias("price"), F.lit("sale").alias("sale_id"))
+    samples = settle(spark.range(20_000).select(F.col("id").alias("search_id"), F.array_repeat(pick, 50).alias("near"), F.sha2(F.col("id").cast("string"), 256).alias("key")))
+    asked = spark.range(20_000).select(F.col("id").alias("search_id"))
+    joined = asked.join(samples.where("key > '0'"), "search_id")
+    assert "BroadcastHashJoin" not in _plan(joined)
+    assert joined.count() == 20_000
+    few = settle(spark.range(10).select(F.col("id").alias("search_id")))
+    assert "BroadcastHashJoin" in _plan(asked.join(few, "search_id"))
