@@ -133,7 +133,7 @@ part("merged_rows", """
 
 def _states(spark, d):
     """An earlier table and a later import of the same sales."""
-    rows = cs.sales_table(spark, d)
+    rows = settle(cs.sales_table(spark, d))
     state = lambda text: spark.sql(text.replace("sales_rows", "{sales_rows}"), sales_rows=rows)
     return state(_TABLE), state(_BATCH)
 

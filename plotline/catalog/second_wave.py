@@ -51,13 +51,13 @@ def _fenced(least: int) -> str:
 @query("X02_statistical_outliers", _fenced(5))
 def statistical_outliers(spark, d):
     """Groups from 5 sales on, which the small tables have."""
-    return sw.statistical_outliers(cs.sales_table(spark, d), 5).select("dedup_key", "is_outlier", "exclusion_reason")
+    return sw.statistical_outliers(settle(cs.sales_table(spark, d)), 5).select("dedup_key", "is_outlier", "exclusion_reason")
 
 
 @query("X02_outliers_of_full_groups", _fenced(30))
 def outliers_of_full_groups(spark, d):
     """The rule's own least group."""
-    return sw.statistical_outliers(cs.sales_table(spark, d)).select("dedup_key", "is_outlier", "exclusion_reason")
+    return sw.statistical_outliers(settle(cs.sales_table(spark, d))).select("dedup_key", "is_outlier", "exclusion_reason")
 
 
 @query(
@@ -69,7 +69,8 @@ def outliers_of_full_groups(spark, d):
        FROM (SELECT code_insee, type_local, count(*) AS bands, sum(n)::BIGINT AS n FROM bands GROUP BY 1, 2) b JOIN medians m USING (code_insee, type_local) JOIN lv USING (code_insee, type_local)""",
 )
 def market_pages(spark, d):
-    page = mk.market_page(cs.bands_table(spark, d), cs.sales_table(spark, d), TODAY)
+    sales = settle(cs.sales_table(spark, d))
+    page = mk.market_page(mk.commune_bands(sales), sales, TODAY)
     return cs.plain(page, ["last_sale"]).withColumns(
         {"med": tidy(F.col("med"), 4), "change_12m_pct": tidy(F.col("change_12m_pct"), 4)}
     )

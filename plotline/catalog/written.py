@@ -13,6 +13,7 @@ from plotline.operators import leads as le
 from plotline.operators import maintain as ma
 from plotline.operators import market as mk
 from plotline.operators import places as pl
+from plotline.session import settle
 from plotline.sources import sample_market as sm
 
 _TOUCHED = "right(code_insee, 1) IN ('0', '2', '4', '6', '8')"
@@ -25,7 +26,7 @@ _TOUCHED = "right(code_insee, 1) IN ('0', '2', '4', '6', '8')"
 def refreshed_bands(spark, d):
     """The stored bands after the houses of the touched communes have left the market."""
     path = cm._folder(spark, "bands")
-    sales = cs.sales_table(spark, d)
+    sales = settle(cs.sales_table(spark, d))
     mk.commune_bands(sales).write.parquet(f"{path}/before")
     touched = sales.where(_TOUCHED).select("code_insee")
     later = sales.where(f"NOT ({_TOUCHED} AND type_local = 'maison')")
@@ -43,7 +44,7 @@ def refreshed_bands(spark, d):
 def incremental_bands(spark, d):
     """Bands after three imports: sales at another price, the right ones with further sales, and stale marks."""
     path, area = cm._folder(spark, "band-state"), F.substring("code_insee", 1, 4)
-    sales = cs.sales_table(spark, d)
+    sales = settle(cs.sales_table(spark, d))
     part = F.pmod(F.xxhash64("dedup_key"), F.lit(3))
     first = sales.where(part < 2).withColumn("prix_m2", F.when(part == 1, (F.col("prix_m2") + 100).cast("decimal(10,2)")).otherwise(F.col("prix_m2")))
     bs.apply_changes(spark, path, bs.changes(sales.limit(0), first, area))

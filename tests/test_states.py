@@ -98,3 +98,24 @@ def test_a_copy_that_is_large_in_memory_is_not_broadcast(spark):
     assert joined.count() == 20_000
     few = settle(spark.range(10).select(F.col("id").alias("search_id")))
     assert "BroadcastHashJoin" in _plan(asked.join(few, "search_id"))
+
+
+def _expanded(rows):
+    """How often a plan expands lines to the grains that are folded into sales."""
+    return _plan(rows).count("Generate explode")
+
+
+def test_reports_on_both_kinds_of_sales_fold_the_lines_once(spark, tmp_path):
+    from plotline.catalog import sales as cs
+
+    folder, n = str(tmp_path), F.col("id")
+    spark.range(1, 9).select(n.alias("c_custkey"), F.lit("HOUSEHOLD").alias("c_mktsegment")).write.parquet(f"{folder}/customer.parquet")
+    spark.range(1, 41).select(
+        n.alias("o_orderkey"), (n % 8 + 1).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (n * 10_000.0).alias("o_totalprice"), F.lit("2000-05-04").alias("o_orderdate"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.range(1, 81).select(
+        (n % 40 + 1).alias("l_orderkey"), n.alias("l_partkey"), n.alias("l_suppkey"), n.cast("int").alias("l_linenumber"), (n % 50).cast("double").alias("l_quantity"),
+        F.lit("R").alias("l_returnflag"), F.lit("2000-06-01").alias("l_shipdate"), n.cast("double").alias("l_extendedprice"),
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    for report in (cs.reject_counts, cs.import_summary, cs.commune_medians):
+        assert _expanded(report(spark, folder)) == 0
