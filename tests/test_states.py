@@ -119,3 +119,17 @@ def test_reports_on_both_kinds_of_sales_fold_the_lines_once(spark, tmp_path):
     ).write.parquet(f"{folder}/lineitem.parquet")
     for report in (cs.reject_counts, cs.import_summary, cs.commune_medians):
         assert _expanded(report(spark, folder)) == 0
+
+
+def test_lines_of_a_sale_meet_once_and_are_cleaned_there(spark):
+    from plotline import fixed_values as fixed
+    from plotline.operators import consolidate as co
+
+    columns = [F.col("id").cast("string").alias(c) for c in fixed.SALE_LINE_COLUMNS if c != "id_mutation"]
+    lines = spark.range(40).select(F.concat(F.lit(" "), F.col("id") % 4).alias("id_mutation"), F.col("id").alias("ord"), F.lit("f").alias("file"), *columns)
+    for scope in ((), ("file",)):
+        facts = co.sale_facts(lines, *scope)
+        plan = _plan(facts)
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert "RLIKE" in plan[: plan.index("Exchange hashpartitioning")] and "RLIKE" not in plan[plan.index("Exchange hashpartitioning"):]
+        assert facts.count() == 4
