@@ -133,3 +133,25 @@ def test_lines_of_a_sale_meet_once_and_are_cleaned_there(spark):
         assert plan.count("Exchange hashpartitioning") == 1
         assert "RLIKE" in plan[: plan.index("Exchange hashpartitioning")] and "RLIKE" not in plan[plan.index("Exchange hashpartitioning"):]
         assert facts.count() == 4
+
+
+def test_given_tables_that_grow_are_not_broadcast(spark, tmp_path):
+    from plotline.sources import sample_market as sm
+
+    folder, n = str(tmp_path), F.col("id")
+    spark.range(1, 20_001).select(n.alias("c_custkey"), F.sha2(n.cast("string"), 256).alias("c_mktsegment")).write.parquet(f"{folder}/customer.parquet")
+    spark.range(1, 40_001).select(
+        n.alias("o_orderkey"), (n % 20_000 + 1).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (n * 10_000.0).alias("o_totalprice"), F.lit("2000-05-04").alias("o_orderdate"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.range(1, 81).select(
+        (n % 40 + 1).alias("l_orderkey"), n.alias("l_partkey"), n.alias("l_suppkey"), n.cast("int").alias("l_linenumber"), (n % 50).cast("double").alias("l_quantity"),
+        F.lit("R").alias("l_returnflag"), F.lit("2000-06-01").alias("l_shipdate"), n.cast("double").alias("l_extendedprice"),
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(25).select(n.cast("int").alias("n_nationkey"), F.lit("NATION_1").alias("n_name"), F.lit(1).alias("n_regionkey")).write.parquet(f"{folder}/nation.parquet")
+    lines = sm.sale_lines(spark, folder)
+    assert "BroadcastHashJoin" not in _plan(lines)
+    assert lines.count() == 80
+    communes, requests = sm.communes(spark, folder), sm.requests(spark, folder)
+    assert "BroadcastHashJoin" not in _plan(spark.range(10).join(requests, F.col("id") == F.col("request_id")))
+    joined = spark.range(10).join(communes.select("code_insee"), F.col("id").cast("string") == F.col("code_insee"))
+    assert "SortMergeJoin" in _plan(joined)
