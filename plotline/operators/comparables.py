@@ -171,7 +171,9 @@ def radius_pairs(searches: DataFrame, sales: DataFrame, radius_m: float, since:
     """Pairs of a search and a fitting sale at most ``radius_m`` away.
 
     They meet on type, grid cell and surface bin, so a search sees no sale far
-    from its size, and even a dense city is many keys.
+    from its size, and even a dense city is many keys.  The distance is exploded
+    from an array of one, or Spark would compute it in the filter once more, in
+    a method too long for the JVM to compile.
     """
     low, high = surface_band(F.col("surface"), tolerance(F.lit(True)))
     extra = [c for c in ("as_of",) if c in searches.columns]
@@ -192,7 +194,7 @@ def radius_pairs(searches: DataFrame, sales: DataFrame, radius_m: float, since:
     return (
         seekers.join(offers, ["property_type", "cell_x", "cell_y", "size_bin"])
         .filter(F.col("sale_surface").between(F.col("low"), F.col("high")))
-        .withColumn("distance", distance)
+        .withColumn("distance", F.explode(F.array(distance)))
         .filter(F.col("distance") <= radius_m)
     )
 

@@ -155,3 +155,19 @@ def test_given_tables_that_grow_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in _plan(spark.range(10).join(requests, F.col("id") == F.col("request_id")))
     joined = spark.range(10).join(communes.select("code_insee"), F.col("id").cast("string") == F.col("code_insee"))
     assert "SortMergeJoin" in _plan(joined)
+
+
+def test_distance_of_a_pair_is_computed_once(spark):
+    from plotline.operators import comparables as cp
+
+    asked = spark.range(3).select(
+        F.col("id").alias("search_id"), F.lit("maison").alias("property_type"), F.lit(100.0).alias("surface"), F.lit(None).cast("double").alias("ref_med"),
+        F.when(F.col("id") < 2, F.lit(2.0)).alias("lon"), (F.col("id") * 0.01 + 48).alias("lat"),
+    )
+    sold = spark.range(3).select(
+        F.concat(F.lit("s"), F.col("id")).alias("sale_id"), F.lit("maison").alias("type_local"), F.lit(100).alias("surface"), F.lit("2001-01-01").cast("date").alias("date_mutation"),
+        F.lit(3000.0).alias("price"), F.lit(3e5).alias("value"), F.lit(2.0).alias("longitude"), F.when(F.col("id") < 2, F.col("id") * 0.01 + 48).alias("latitude"), F.lit(True).alias("geoloc_fine"),
+    )
+    pairs = cp.radius_pairs(settle(asked), settle(sold), 500, F.lit("2000-01-01").cast("date"))
+    assert len([line for line in _plan(pairs).splitlines() if "SIN(" in line.upper()]) == 1
+    assert sorted((r.search_id, r.sale_id, r.distance) for r in pairs.collect()) == [(0, "s0", 0.0), (1, "s1", 0.0)]
