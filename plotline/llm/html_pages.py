@@ -276,19 +276,28 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     base = pages.select(F.monotonically_increasing_id().alias("row"), F.col(url).alias("url"), F.col(html).alias("html"), F.col(key).alias("id"))
     shared = _shared(base.select("row", "url", "html"))
-    kinds = [to_arrow_type(base.schema[c].dataType) for c in ("id", "url")]
+    kinds = {c: to_arrow_type(base.schema[c].dataType) for c in ("id", "url")}
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             out = []
-            for page, same in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for page in part.column(2).to_pylist():
                 found = lines(page or "")
-                alike = set(same or ())
                 certain = any(state == INSIDE for _, state in found)
-                kept = [(n, t) for n, (t, state) in enumerate(found) if state == INSIDE or (state == OPEN and not certain and n not in alike)]
-                out.append((" ".join(t for _, t in kept), len(found), len(alike), sum(n in alike for n, _ in kept)))
-            text, count, number, restored = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(kinds[0]), part.column(1).cast(kinds[1]), pa.array(text, pa.string()), *[pa.array(x, pa.int64()) for x in (count, number, restored)]], names=["id", "url", "text", "n_lines", "n_shared", "n_restored"])
+                wanted = INSIDE if certain else OPEN
+                # Each block at its line's place, so that what is left of the places leads to the blocks.
+                out.append((len(found), certain, [n for n, (_, state) in enumerate(found) if state == wanted], [t if state == wanted else None for t, state in found]))
+            types = [pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string())]
+            made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(kinds["id"]), part.column(1).cast(kinds["url"]), part.column(3), *made], names=["id", "url", "row", "n_lines", "certain", "at", "blocks"])
 
     id_kind = base.schema["id"].dataType.simpleString()
-    return base.join(shared, "row", "left").select("id", "url", "html", "shared").mapInArrow(texts, f"id {id_kind}, url string, text string, n_lines long, n_shared long, n_restored long")
+    # The blocks that may stay meet what is shared, not the pages with their markup.
+    found = base.select("id", "url", "html", "row").mapInArrow(blocks, f"id {id_kind}, url string, row long, n_lines long, certain boolean, at array<int>, blocks array<string>")
+    alike = F.coalesce("shared", F.array().cast("array<int>"))
+    both = F.size(F.array_intersect("at", alike)).cast("long")
+    own = F.transform(F.array_except("at", alike), lambda n: F.get("blocks", n))
+    return found.join(shared, "row", "left").select(
+        "id", "url", F.array_join(F.when(F.col("certain"), F.col("blocks")).otherwise(own), " ").alias("text"),
+        "n_lines", F.size(alike).cast("long").alias("n_shared"), F.when(F.col("certain"), both).otherwise(F.lit(0).cast("long")).alias("n_restored"),
+    )

@@ -1,5 +1,7 @@
 """Page differencing: blocks, alignment, neighbours, tables, odd pages."""
 
+import contextlib
+import io
 import html
 import os
 import random
@@ -158,3 +160,23 @@ def test_pairing_against_brute_force(spark):
                 if same < 0.8 * (len(own) + len(other[2]) - same):
                     best.append((-len(os.path.commonprefix([outline[first][1], other[1]])), beside, same))
         assert got[n] == (min(best)[2] if best else 0)
+
+
+def test_pages_do_not_move_with_their_markup(spark):
+    """What is shared meets the blocks that may stay: pages are cut into blocks below that join, not above it."""
+    rows = [
+        (1, "http://h.x/a/1", "<div>top</div><div>one</div><div>end</div>"),
+        (2, "http://h.x/a/2", "<div>top</div><div>two &amp; more</div><nav>menu</nav><div>end</div>"),
+        (3, "http://h.x/a/3", "<div>top</div><article><p>top</p><p>three</p></article><div>end</div>"),
+        (4, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_pages.extract(frame)
+    buffer = io.StringIO()
+    with contextlib.redirect_stdout(buffer):
+        found.explain()
+    plan = buffer.getvalue()
+    assert plan.index("Join") < plan.index("MapInArrow")
+    got = {r.id: (r.text, r.n_lines, r.n_shared, r.n_restored) for r in found.collect()}
+    assert got[1][0] == "one" and got[2][0] == "two & more"
+    assert got[3] == ("top three", 4, got[3][2], got[3][3]) and got[4] == ("", 0, 0, 0)
