@@ -171,3 +171,40 @@ def test_distance_of_a_pair_is_computed_once(spark):
     pairs = cp.radius_pairs(settle(asked), settle(sold), 500, F.lit("2000-01-01").cast("date"))
     assert len([line for line in _plan(pairs).splitlines() if "SIN(" in line.upper()]) == 1
     assert sorted((r.search_id, r.sale_id, r.distance) for r in pairs.collect()) == [(0, "s0", 0.0), (1, "s1", 0.0)]
+
+
+def test_lots_of_a_publication_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Each of the four lots is as many files as tasks write it, and the manifest names them all."""
+    from plotline.catalog import maintenance as cm
+
+    names = cm.fixed.SALE_LINE_COLUMNS
+    source = tmp_path / "sale-files"
+    source.mkdir()
+    for n in range(3):
+        rows = [",".join(key if c == "id_mutation" else "" for c in names) for key in (f"{n}3", f"{n}4", f"{n}5")]
+        (source / f"part-{n}.csv").write_text("\n".join([",".join(names), *rows]) + "\n")
+    runs = []
+
+    def ingest(spark, folder, built, land, vintage, state, manifest):
+        runs.append((sorted(f for f in os.listdir(folder) if not f.startswith(".")), sorted(r.import_file for r in manifest.select("import_file").distinct().collect())))
+        empty = spark.createDataFrame([], "id_mutation string, is_outlier boolean, exclusion_reason string")
+        for path in (built, land):
+            empty.write.mode("overwrite").parquet(path)
+
+    monkeypatch.setattr(cm, "_sale_files", lambda spark, d: str(source))
+    monkeypatch.setattr(cm.cs, "facts", lambda spark, d: spark.sql("SELECT '10' AS code_departement"))
+    monkeypatch.setattr(cm, "ingest", ingest)
+    monkeypatch.setattr(cm, "checkpoint_folder", lambda spark: str(tmp_path))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1m")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        cm.departments_over_several_runs(spark, "unused")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(runs) == 4
+    folder, listed = runs[0]
+    lot = [f for f in folder if f.startswith("first-a-")]
+    assert len(lot) == 3 and set(lot) < set(listed) and len(listed) == 6
+    assert set(runs[1][0]) == set(runs[1][1]) and {f.rsplit("-", 1)[0] for f in runs[3][1]} == {"second-a", "second-b"}
