@@ -2,6 +2,7 @@
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plotline.llm import decontaminate, pieces, quality
+from plotline.session import checkpoint_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -187,3 +189,30 @@ def test_stages_on_odd_documents(spark, tmp_path):
         if name == "without_secrets":
             assert [r.n_chars for r in found if r.text and "[SECRET]" in r.text] == [len("before [SECRET] after")]
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_all_trusted_texts_fit_the_model_in_shards(spark, monkeypatch):
+    """More trusted texts than any sample; a model in shards scores texts and passages as the whole does."""
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('w', id, ' the word ', id % 7, ' ñ', id % 11) as text", "cast(null as string) as lang", "'x' as loss")
+    folder = f"{checkpoint_folder(spark)}/shards-{uuid.uuid4().hex}"
+    docs.repartition(3).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    model = quality.fit(docs, docs.select("doc_id"))
+    half = docs.where(quality._even(F.col("doc_id")))
+    assert model.symbols == half.agg(F.sum(F.octet_length("text") + 1)).first()[0] and half.count() > 5_500
+    shards = quality.fit(docs, docs.select("doc_id"), shard_bytes=100_000)
+    assert len(shards.parts) > 3 and shards.mean == pytest.approx(model.mean)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "  lead word"), (4, "zz\n\n qq the word "), (4, "zz\n\n qq the word ")], "doc_id long, text string")
+    folder = f"{checkpoint_folder(spark)}/shards-{uuid.uuid4().hex}"
+    docs.drop("loss", "lang").where("doc_id > 11000").union(odd).repartition(5).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    for window in (1, 3):
+        monkeypatch.setattr(quality._worst, "__defaults__", (window, quality.PASSAGE_PRIOR))
+        monkeypatch.setattr(quality.worst_passages, "__defaults__", (window, quality.PASSAGE_PRIOR))
+        one, many = (sorted(map(tuple, quality.losses(rows, m).selectExpr("doc_id", "coalesce(text, '-')", "symbols", "loss", "passage").collect())) for m in (model, shards))
+        assert len(one) == len(many) == 1_004
+        for a, b in zip(one, many, strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    kept = quality.train(docs, labels, shard_bytes=100_000)[1]
+    assert kept.count() == 12_000 and "text" in kept.columns
