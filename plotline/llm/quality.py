@@ -26,6 +26,8 @@ SHARE, SHRINKAGE, PRIOR = 0.995, 5, 64
 WINDOW, PASSAGE_PRIOR = 1, 2
 #: Bytes of text scored at once: each takes some 80 bytes of arrays.
 SCORED_BYTES = 1 << 20
+#: Bits of the fixed-size map by which most texts that the model is not fitted on are passed over.
+MAP_BITS = 1 << 26
 #: Bytes of model that one pass over the texts carries, and of each longest context in it.
 SHARD_BYTES, KEY_BYTES = 96 << 20, 50
 
@@ -105,6 +107,31 @@ def _shard(codes: np.ndarray, shards: int) -> np.ndarray:
     return (codes >> 8 & 0xFFFF) % shards
 
 
+def _marked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key the map of the ``chosen`` keys has: all of these, and few others.
+
+    The map is at most MAP_BITS / 32768 rows of 4 KiB, whatever the input.
+    """
+    spot = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS)) + 1
+    bits = chosen.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    place = F.bitmap_bit_position("spot")
+    octet = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("spot", spot).withColumn("bucket", F.bitmap_bucket_number("spot")).join(F.broadcast(bits), "bucket")
+    return found.where(F.call_function("getbit", octet, (place % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def fitted_texts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts of all trusted documents of one half (by their key), as many times as they occur.
+
+    Joined by shuffles at every size, so that small and large tables have one
+    plan; only texts that the map of keys has move.  The keys are different, so
+    the join is an inner one, which Spark does not move before the map.
+    """
+    chosen = trusted.select(F.col(key).alias("key")).where(_even(F.col("key"))).distinct()
+    body = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(_even(F.col("key")))
+    return _marked(body, chosen).join(chosen.hint("merge"), "key").select("text")
+
+
 def _columns(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = frame.select("key", "n").toArrow()
     return table.column(0).to_numpy().astype(np.int64), table.column(1).to_numpy().astype(np.int64)
@@ -115,8 +142,7 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
 
     A model of more than about ``shard_bytes`` is cut into shards, which pass through the driver one by one.
     """
-    chosen = trusted.select(F.col(key).alias("key")).where(_even(F.col("key"))).distinct()
-    body = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(_even(F.col("key"))).join(chosen, "key", "left_semi").select("text")
+    body = fitted_texts(docs, trusted, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):

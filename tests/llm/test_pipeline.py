@@ -216,3 +216,18 @@ def test_all_trusted_texts_fit_the_model_in_shards(spark, monkeypatch):
     labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
     kept = quality.train(docs, labels, shard_bytes=100_000)[1]
     assert kept.count() == 12_000 and "text" in kept.columns
+
+
+def test_only_texts_that_fit_the_model_move(spark):
+    """Few trusted texts among many: one plan at every size, in which the other texts are passed over before the shuffle."""
+    rows = [(None, "no key")] + [(i % 5_000, f"text {i}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    trusted = spark.range(0, 5_000, 50).select(F.col("id").alias("doc_id")).union(spark.createDataFrame([(None,), (100,)], "doc_id long"))
+    found = quality.fitted_texts(docs, trusted, "doc_id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("SortMergeJoin") < plan.index("getbit") and "BroadcastHashJoin [key" not in plan
+    chosen = {r.key for r in trusted.select(F.col("doc_id").alias("key")).where(quality._even(F.col("key"))).collect() if r.key is not None}
+    assert sorted(r.text for r in found.collect()) == sorted(t for k, t in rows if k in chosen) and 30 < len(chosen) < 70
+    body = docs.select(F.col("doc_id").alias("key"), "text")
+    marked = quality._marked(body, trusted.select(F.col("doc_id").alias("key")).where("doc_id is not null"))
+    assert marked.columns == ["key", "text"] and 100 <= marked.select("key").distinct().count() < 110
