@@ -206,9 +206,7 @@ def radius_fetch(spark, d):
     attempts = [a for a in cp.PLAN if a.level == "radius"]
     samples = cp.radius_samples(searches(spark, d), market(spark, d)["sales"], attempts, TODAY)
     # rank restarts for each radius because a smaller radius is a prefix of a larger one
-    return samples.select(F.col("search_id").alias("request_id"), "attempt_no", F.explode("sample").alias("x")).select(
-        "request_id", "attempt_no", "x.sale_id", "x.rank", "x.distance"
-    )
+    return samples.select(F.col("search_id").alias("request_id"), "attempt_no", "x.sale_id", "x.rank", "x.distance")
 
 
 @query(

@@ -64,5 +64,14 @@ def cell_y(lat: Column, radius_m: float) -> Column:
     return cell(lat, radius_m, _M_PER_DEG_LAT)
 
 
+def reach_x(radius_m: float) -> float:
+    """Degrees of longitude that no distance of ``radius_m`` exceeds in the plausible box."""
+    return radius_m / _M_PER_DEG_LON
+
+
+def reach_y(radius_m: float) -> float:
+    return radius_m / _M_PER_DEG_LAT
+
+
 def neighbours(index: Column) -> Column:
     return F.sequence(index - 1, index + 1)

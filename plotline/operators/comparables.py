@@ -8,11 +8,13 @@ job runs in three stages, each on the properties the previous one left open:
 2. attempts 3-18, one grid join at 5 km, plus the two commune attempts;
 3. attempts 19-23, by inter-commune body, commune, department, region, country.
 
-Radius joins meet on grid cells and surface bins.  Attempts are judged by
-counts over narrow arrays; the sales of a search's one accepted attempt get
-their other columns at the end.  Administrative attempts never pair a
-property with every sale of its area: a histogram by surface tells how far
-from the wanted surface the 200 closest sales reach, and only those are read.
+Radius joins meet on grid cells and surface bins, all pairs of a search in one
+task, so pairs are ranked where they are made and never shuffled.  Attempts are
+judged by counts over narrow arrays; the sales of a search's one accepted
+attempt get their other columns at the end.  Administrative attempts never pair
+a property with every sale of its area: the area's histogram by surface tells
+how far from the wanted surface the 200 closest sales reach, and only those are
+read.
 """
 
 from __future__ import annotations
@@ -140,12 +142,9 @@ def with_reference_median(searches: DataFrame, medians: DataFrame) -> DataFrame:
     return searches.join(own, ["code_insee", "property_type", *day], "left")
 
 
-def _pick(rank: Column, distance: Column) -> Column:
+def _pick() -> Column:
     """What ranks and judges a sale; the rest of it is joined to the one sample that is used."""
-    return F.struct(
-        rank.cast("int").alias("rank"), "sale_id", distance.cast("double").alias("distance"), "price",
-        within_bounds(F.col("price"), F.col("sale_surface"), F.col("value")).alias("fine"),
-    )
+    return F.struct(F.col("rank").cast("int").alias("rank"), "sale_id", F.col("distance").cast("double").alias("distance"), "price", "fine")
 
 
 def _dated(searches: DataFrame, reference_date: str) -> DataFrame:
@@ -199,6 +198,61 @@ def radius_pairs(searches: DataFrame, sales: DataFrame, radius_m: float, since:
     )
 
 
+#: Width of the surface bins of searches that are ranked in one task, and how many searches of a key share a task.
+_HOME_STEP, _TASK_SEARCHES = 1.5, 4096
+_HOME = ["property_type", "cell_x", "cell_y", "size_bin"]
+
+
+def _home_bin(surface: Column) -> Column:
+    return F.floor(F.log(F.greatest(surface.cast("double"), F.lit(1.0))) / F.log(F.lit(_HOME_STEP))).cast("int")
+
+
+def _home_pairs(searches: DataFrame, sales: DataFrame, radius_m: float, since: Column) -> tuple[DataFrame, list[str]]:
+    """As ``radius_pairs``, with the pairs of a search in one task; also the columns that name its task.
+
+    A search has one cell (twice as wide as the radius) and one surface bin; a
+    sale is copied to the cells and bins where it may fit.  Keys with very many
+    searches are cut into parts.  The columns are empty if a search id stands
+    at several places, as its sales then rank together.
+    """
+    low, high = surface_band(F.col("surface"), tolerance(F.lit(True)))
+    extra = [c for c in ("as_of",) if c in searches.columns]
+    cell_x, cell_y = (lambda lon: geo.cell_x(lon, 2 * radius_m)), (lambda lat: geo.cell_y(lat, 2 * radius_m))
+    seekers = searches.select(
+        "search_id", "property_type", "surface", "ref_med", *extra,
+        F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"), low.alias("low"), high.alias("high"),
+        cell_x(F.col("lon")).alias("cell_x"), cell_y(F.col("lat")).alias("cell_y"), _home_bin(F.col("surface")).alias("size_bin"),
+    ).dropna(subset=_HOME)
+    home = F.struct(*_HOME[1:])
+    scattered = seekers.groupBy("search_id", "property_type").agg(F.min(home).alias("a"), F.max(home).alias("b")).where("a <> b")
+    loads = settle(
+        seekers.groupBy(*_HOME).agg(F.ceil(F.count("*") / _TASK_SEARCHES).cast("int").alias("parts")).where("parts > 1")
+    )
+    seekers = seekers.join(loads, _HOME, "left").withColumn("part", F.pmod(F.xxhash64("search_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+    # A little wider than the radius and the band, as cells and bins are cut from rounded numbers.
+    reach_x, reach_y = geo.reach_x(1.001 * radius_m), geo.reach_y(1.001 * radius_m)
+    ratio, surface = tolerance(F.lit(True)), F.col("sale_surface").cast("double")
+    offers = sales.filter(F.col("geoloc_fine") & (F.col("date_mutation") >= since)).select(
+        "sale_id", F.col("type_local").alias("property_type"), F.col("surface").alias("sale_surface"), "date_mutation", "price", "value", "longitude", "latitude",
+        *[c for c in ("med", "meds") if c in sales.columns],
+    )
+    offers = offers.withColumn("fine", within_bounds(F.col("price"), F.col("sale_surface"), F.col("value"))).drop("value")
+    offers = offers.withColumn("cell_x", F.explode(F.sequence(cell_x(F.col("longitude") - reach_x), cell_x(F.col("longitude") + reach_x))))
+    offers = offers.withColumn("cell_y", F.explode(F.sequence(cell_y(F.col("latitude") - reach_y), cell_y(F.col("latitude") + reach_y))))
+    offers = offers.withColumn("size_bin", F.explode(F.sequence(_home_bin(surface / (1.0001 + ratio)), _home_bin(surface / (0.9999 - ratio)))))
+    offers = offers.join(loads, _HOME, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    close = (F.abs(F.col("latitude") - F.col("at_lat")) <= reach_y) & (F.abs(F.col("longitude") - F.col("at_lon")) <= reach_x)
+    distance = geo.distance_m(F.col("at_lon"), F.col("at_lat"), F.col("longitude"), F.col("latitude"))
+    pairs = (
+        seekers.hint("merge").join(offers, [*_HOME, "part"])
+        .filter(F.col("sale_surface").between(F.col("low"), F.col("high")) & close)
+        .withColumn("distance", F.explode(F.array(distance)))
+        .filter(F.col("distance") <= radius_m)
+    )
+    return pairs, [*_HOME[1:], "part"] if scattered.isEmpty() else []
+
+
 def _rankings(attempts: list[Attempt]) -> list[list[Attempt]]:
     """Attempts that differ only by radius share one ranking: nearest within 5 km implies nearest within 500 m."""
     classes: dict[tuple, list[Attempt]] = {}
@@ -207,13 +261,14 @@ def _rankings(attempts: list[Attempt]) -> list[list[Attempt]]:
     return list(classes.values())
 
 
-def radius_near(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> DataFrame:
-    """search_id, property_type, ranking, near: the 200 nearest fitting sales for each ranking of the attempts."""
+def radius_ranked(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> tuple[DataFrame, list[str]]:
+    """The 200 nearest fitting sales of each search for each ranking of the attempts, one row each, and what names a group of them."""
     reach, longest = max(a.radius for a in attempts), max(a.months for a in attempts)
     known = _known(searches)
     earliest = F.lit(reference_date).cast("date") if "as_of" not in searches.columns else searches.agg(F.min("as_of")).scalar()
     searches = _dated(searches, reference_date)
-    pairs = radius_pairs(searches, sales, reach, F.add_months(earliest, -longest)).where(known)
+    pairs, home = _home_pairs(searches, sales, reach, F.add_months(earliest, -longest))
+    pairs = pairs.where(known)
     med = F.try_element_at("meds", F.col("as_of")) if "meds" in sales.columns else F.col("med")
     guard = F.coalesce(F.abs(med - F.col("ref_med")) <= fixed.GUARD_TOLERANCE * F.col("ref_med"), F.lit(True))
     base_low, base_high = surface_band(F.col("surface"), tolerance(F.lit(False)))
@@ -225,18 +280,23 @@ def radius_near(searches: DataFrame, sales: DataFrame, attempts: list[Attempt],
         if group[0].guarded:
             fit &= guard
         fits.append(F.when(fit, F.lit(number)))
-    nearest = Window.partitionBy("search_id", "property_type", "ranking").orderBy("distance", "sale_id")
+    group = ["search_id", "ranking", "property_type", *home]
+    nearest = Window.partitionBy(*group).orderBy("distance", "sale_id")
     ranked = (
         pairs.select(
-            "search_id", "property_type", "sale_id", "sale_surface", "price", "value", "distance",
+            *[c for c in group if c != "ranking"], "sale_id", "price", "fine", "distance",
             F.explode(F.array_compact(F.array(*fits))).alias("ranking"),
         )
         .withColumn("rank", F.row_number().over(nearest))
         .filter(F.col("rank") <= fixed.FETCH_LIMIT)
     )
-    return ranked.groupBy("search_id", "property_type", "ranking").agg(
-        F.sort_array(F.collect_list(_pick(F.col("rank"), F.col("distance")))).alias("near")
-    )
+    return ranked, group
+
+
+def radius_near(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> DataFrame:
+    """search_id, property_type, ranking, near: the 200 nearest fitting sales for each ranking of the attempts."""
+    ranked, group = radius_ranked(searches, sales, attempts, reference_date)
+    return ranked.groupBy(*group).agg(F.sort_array(F.collect_list(_pick())).alias("near")).select("search_id", "property_type", "ranking", "near")
 
 
 def _per_ranking(attempts: list[Attempt], body) -> Column:
@@ -253,10 +313,10 @@ def _within(radius: Column | float) -> Column:
 
 
 def radius_samples(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> DataFrame:
-    """The 200 nearest fitting sales of each search, for each attempt."""
-    asked = _per_ranking(attempts, lambda a: F.struct(F.lit(a.number).alias("attempt_no"), F.lit(float(a.radius)).alias("radius")))
-    near = radius_near(searches, sales, attempts, reference_date).withColumn("a", F.explode(asked))
-    return near.select("search_id", "property_type", "a.attempt_no", _within(F.col("a.radius")).alias("sample")).filter(F.size("sample") > 0)
+    """search_id, property_type, attempt_no, x: the 200 nearest fitting sales of each search, for each attempt."""
+    asked = _per_ranking(attempts, lambda a: F.when(F.col("distance") <= float(a.radius), F.lit(a.number)))
+    ranked, _ = radius_ranked(searches, sales, attempts, reference_date)
+    return ranked.select("search_id", "property_type", F.explode(F.array_compact(asked)).alias("attempt_no"), _pick().alias("x"))
 
 
 def _radius_outcomes(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str):
@@ -349,6 +409,8 @@ def area_requests(searches: DataFrame, sales: DataFrame, attempts: list[Attempt]
             "m.scope", "m.area", F.col("type_local").alias("property_type"), *area[3:], "sale_id",
             F.col("surface").alias("sale_surface"), "date_mutation", "price", "value",
         )
+        .withColumn("fine", within_bounds(F.col("price"), F.col("sale_surface"), F.col("value")))
+        .drop("value")
         .filter(F.col("area").isNotNull())
         .join(wanted.select(*area).distinct(), area, "left_semi")
         .withColumn("n", F.row_number().over(newest))
@@ -395,8 +457,9 @@ def area_requests(searches: DataFrame, sales: DataFrame, attempts: list[Attempt]
         .filter(F.col("sale_surface").between(F.col("low"), F.col("high")) & (gap <= F.col("reach")))
         .withColumn("rank", F.row_number().over(closest))
         .filter(F.col("rank") <= fixed.FETCH_LIMIT)
+        .withColumn("distance", F.lit(None))
         .groupBy(*request)
-        .agg(F.sort_array(F.collect_list(_pick(F.col("rank"), F.lit(None)))).alias("near"))
+        .agg(F.sort_array(F.collect_list(_pick())).alias("near"))
     )
     return asked, samples
 
