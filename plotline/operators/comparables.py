@@ -418,18 +418,27 @@ def area_requests(searches: DataFrame, sales: DataFrame, attempts: list[Attempt]
         .drop("n")
         .withColumn("bin", _surface_bin(F.col("sale_surface")))
     )
-    histogram = offers.groupBy(*area, "bin").agg(
-        F.count("*").alias("n"), F.min("sale_surface").alias("smallest"), F.max("sale_surface").alias("largest")
-    )
-    surface, smallest, largest = F.col("surface"), F.col("smallest"), F.col("largest")
-    whole = (smallest >= F.col("low")) & (largest <= F.col("high"))
-    bins = F.sequence(_surface_bin(F.col("low")) - 1, _surface_bin(F.col("high")) + 1)
-    entry = F.struct(
-        F.greatest(F.abs(smallest - surface), F.abs(largest - surface)).alias("far"),
-        F.when(whole, F.col("n")).otherwise(0).alias("n"),
-        F.greatest(F.lit(0.0), smallest - surface, surface - largest).alias("near"),
-        F.col("bin").alias("bin"),
+    # One row for each area, so that a request meets one row and not one for each bin it may reach.
+    histogram = (
+        offers.groupBy(*area, "bin")
+        .agg(F.count("*").alias("n"), F.min("sale_surface").alias("smallest"), F.max("sale_surface").alias("largest"))
+        .groupBy(*area).agg(F.collect_list(F.struct("bin", "n", "smallest", "largest")).alias("bins"))
     )
+    surface = F.col("surface")
+    lowest, highest = _surface_bin(F.col("low")) - 1, _surface_bin(F.col("high")) + 1
+
+    def touched(b: Column) -> Column:
+        return b["bin"].between(lowest, highest) & (b["largest"] >= F.col("low")) & (b["smallest"] <= F.col("high"))
+
+    def entry(b: Column) -> Column:
+        smallest, largest = b["smallest"], b["largest"]
+        return F.struct(
+            F.greatest(F.abs(smallest - surface), F.abs(largest - surface)).alias("far"),
+            F.when((smallest >= F.col("low")) & (largest <= F.col("high")), b["n"]).otherwise(0).alias("n"),
+            F.greatest(F.lit(0.0), smallest - surface, surface - largest).alias("near"),
+            b["bin"].alias("bin"),
+        )
+
     request = [*area, "surface", "ratio"]
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("reach"))
 
@@ -441,11 +450,8 @@ def area_requests(searches: DataFrame, sales: DataFrame, attempts: list[Attempt]
         )
 
     reached = (
-        wanted.withColumn("bin", F.explode(bins))
-        .join(histogram, [*area, "bin"])
-        .filter((largest >= F.col("low")) & (smallest <= F.col("high")))
-        .groupBy(*request, "low", "high")
-        .agg(F.sort_array(F.collect_list(entry)).alias("bins"))
+        wanted.join(histogram, area)
+        .withColumn("bins", F.sort_array(F.transform(F.filter("bins", touched), entry)))
         .withColumn("reach", F.coalesce(F.aggregate("bins", start, grow)["reach"], F.lit(float("inf"))))
         .withColumn("b", F.explode(F.filter("bins", lambda e: e["near"] <= F.col("reach"))))
         .select(*request, "low", "high", "reach", F.col("b.bin").alias("bin"))
@@ -465,9 +471,24 @@ def area_requests(searches: DataFrame, sales: DataFrame, attempts: list[Attempt]
 
 
 def area_samples(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str) -> DataFrame:
-    """The 200 sales closest in surface, newest first, in each search's area."""
+    """search_id, property_type, attempt_no, x: the 200 sales closest in surface, newest first, in each search's area, with their distance.
+
+    The sales of a request are placed once, however many searches share it.
+    """
     asked, samples = area_requests(searches, sales, attempts, reference_date)
-    return asked.join(samples, [c for c in samples.columns if c != "near"]).select("search_id", "property_type", "attempt_no", F.col("near").alias("sample"))
+    request = [c for c in samples.columns if c != "near"]
+    spots = sales.select("sale_id", F.col("type_local").alias("property_type"), "longitude", "latitude")
+    placed = (
+        samples.select(*request, F.explode("near").alias("x")).select(*request, "x.rank", "x.sale_id")
+        .join(spots, ["sale_id", "property_type"])
+        .groupBy(*request).agg(F.collect_list(F.struct("rank", "sale_id", "longitude", "latitude")).alias("near"))
+    )
+    rows = (
+        asked.join(_standing(searches), ["search_id", "property_type"]).join(placed, request)
+        .select("search_id", "property_type", "attempt_no", "at_lon", "at_lat", F.explode("near").alias("x"))
+    )
+    distance = geo.distance_m(F.col("at_lon"), F.col("at_lat"), F.col("x.longitude"), F.col("x.latitude"))
+    return rows.select("search_id", "property_type", "attempt_no", F.struct("x.rank", "x.sale_id", distance.alias("distance")).alias("x"))
 
 
 def _area_outcomes(searches: DataFrame, sales: DataFrame, attempts: list[Attempt], reference_date: str):
@@ -531,6 +552,10 @@ def first_accepted(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def _standing(searches: DataFrame) -> DataFrame:
+    return searches.select("search_id", "property_type", F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"))
+
+
 def with_sales(picked: DataFrame, searches: DataFrame, sales: DataFrame) -> DataFrame:
     """Picked sales (search_id, property_type, x and more) with the rest of their columns and their distance."""
     places = searches.select("search_id", "property_type", F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"))

@@ -103,3 +103,37 @@ def test_a_settled_copy_leaves_no_shuffle_files(spark):
     while (left := {f for f in files() if f.startswith("shuffle_")} - before) and time.time() < until:
         time.sleep(0.2)
     assert not left
+
+
+def area_by_hand(spark, asked, sold, attempts):
+    """(id, attempt, sale, rank, distance) of the 200 sales closest in surface, newest first."""
+    where = {"commune": (6, 10), "epci": (7, 15), "departement": (8, 11), "region": (9, 16)}
+    rows = []
+    for t in attempts:
+        for a in asked:
+            base, wider, _ = cp.fixed.SEARCH_PROFILES[a[1]]
+            ratio, found = (wider if t.wide else base) / 100, []
+            for s in sold:
+                if t.level == "national":
+                    inside = a[10] is None or s[17] == a[10]
+                else:
+                    mine, theirs = where[t.level]
+                    inside = a[mine] is not None and s[theirs] == a[mine]
+                if inside and s[1] == a[1] and s[4] >= ago(t.months) and max(0.0, a[2] * (1 - ratio)) <= s[2] <= a[2] * (1 + ratio):
+                    found.append((abs(s[2] - a[2]), -s[4].toordinal(), s[0], s[12], s[13]))
+            rows += [(a[0], t.number, f[2], rank, (a[3], a[4], f[3], f[4])) for rank, f in enumerate(sorted(found)[:200], 1)]
+    far = metres(spark, [r[4] for r in rows])
+    return sorted((*r[:4], far[i]) for i, r in enumerate(rows))
+
+
+def test_requests_meet_their_area_once(spark):
+    """As by hand, where 200 sales of an area are fewer than all; bins are no rows, and placed sales are not shuffled by search."""
+    asked, sold, questions, offers = market(spark, 2500)
+    asked, questions = asked.where("search_id > 1"), [q for q in questions if q[0] > 1]
+    attempts = [a for a in cp.PLAN if a.level != "radius"]
+    found = cp.area_samples(asked, sold, attempts, TODAY)
+    rows = sorted(map(tuple, found.select("search_id", "attempt_no", "x.sale_id", "x.rank", "x.distance").collect()))
+    expected = area_by_hand(spark, questions, offers, attempts)
+    assert max(r[3] for r in expected) == 200
+    assert rows == expected
+    assert "explode(sequence(" not in plan(found)
