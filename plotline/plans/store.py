@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.operators.valuation import request_key
-from plotline.session import delete_folder, settle
+from plotline.session import delete_folder, settle, shuffles_deleted
 
 
 def value_once(spark: SparkSession, path: str, located: DataFrame, vintage: str, value: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -29,7 +29,8 @@ def value_once(spark: SparkSession, path: str, located: DataFrame, vintage: str,
     if not wanted.isEmpty():
         unseen = keyed.join(wanted.select("request_id"), "request_id", "left_semi").drop("request_key")
         made = value(unseen).join(wanted, "request_id").drop("request_id")
-        made.write.mode("append").parquet(_place(path, vintage))
+        with shuffles_deleted(spark):
+            made.write.mode("append").parquet(_place(path, vintage))
     rows = _held(spark, path, vintage)
     if rows is None:
         return keyed.select("request_id", F.lit(False).alias("valued_now")).limit(0)

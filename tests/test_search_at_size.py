@@ -137,3 +137,45 @@ def test_requests_meet_their_area_once(spark):
     assert max(r[3] for r in expected) == 200
     assert rows == expected
     assert "explode(sequence(" not in plan(found)
+
+
+def test_chosen_samples_are_shuffled_once(spark):
+    """Samples join their searches where they are made; each sale of a sample has its columns and distance."""
+    asked, sold, questions, offers = market(spark)
+    asked = asked.where("search_id > 1")
+    outcomes = cp.find_comparables(asked, sold, TODAY)
+    chosen = cp.chosen_samples(asked, outcomes, sold)
+    joined = asked.hint("merge").join(chosen, "search_id")
+    steps = plan(joined)
+    assert "ObjectHashAggregate" in steps
+    samples = steps[: steps.index("ObjectHashAggregate")]
+    assert samples.count("Exchange") == 1  # of the searches
+    place, first = {q[0]: q for q in questions}, {r.search_id: r.attempt_no for r in cp.first_accepted(outcomes).withColumnRenamed("accepted_no", "attempt_no").collect()}
+    rows = [(r.search_id, x) for r in joined.collect() for x in r.sample]
+    assert {k for k, _ in rows} == set(first) and len(rows) > 100
+    known = {s[0]: s for s in offers}
+    far = metres(spark, [(place[k][3], place[k][4], known[x.sale_id][12], known[x.sale_id][13]) for k, x in rows])
+    for i, (_, x) in enumerate(rows):
+        s = known[x.sale_id]
+        assert (x.surface, x.land, x.date, x.price, x.street, x.distance) == (s[2], s[3], s[4], s[5], s[8], far[i])
+
+
+def test_values_are_kept_without_their_samples(spark, monkeypatch, tmp_path):
+    """Settled values hold no sales, and settled statistics hold only the sales that were kept."""
+    from plotline.catalog import comparables as cc
+    from plotline.catalog import valuation as cv
+
+    asked, sold, _, _ = market(spark)
+    asked = asked.where("search_id > 1").selectExpr(
+        "*", "search_id AS request_id", "'D' AS dpe", "CAST(NULL AS STRING) AS condition", "CAST(NULL AS STRING) AS outdoor", "CAST(NULL AS INT) AS floor",
+        "CAST(NULL AS BOOLEAN) AS has_elevator", "500D AS terrain_size", "'exact' AS precision")
+    land = sold.select("code_insee", "code_departement", "date_mutation", F.lit(30.0).alias("prix_m2"), F.lit(False).alias("is_outlier"))
+    outcomes = cp.find_comparables(asked, sold, TODAY)
+    monkeypatch.setattr(cc, "searches", lambda spark, d: asked)
+    monkeypatch.setattr(cc, "market", lambda spark, d: {"sales": sold, "land": land})
+    monkeypatch.setattr(cc, "outcomes", lambda spark, d: outcomes)
+    valued, measured = cv.valued(spark, str(tmp_path)), cv.measured(spark, str(tmp_path))
+    assert not {"sample", "kept"} & set(valued.columns) and "sample" not in measured.columns and "kept" in measured.columns
+    assert valued.count() == measured.count() == cp.first_accepted(outcomes).count() > 0
+    houses = valued.where("property_type = 'maison'").agg(F.count("*"), F.count_if(F.col("land_price") == 30.0)).first()
+    assert houses[0] and valued.where("property_type <> 'maison' AND land_price IS NOT NULL").isEmpty()
