@@ -179,3 +179,28 @@ def test_values_are_kept_without_their_samples(spark, monkeypatch, tmp_path):
     assert valued.count() == measured.count() == cp.first_accepted(outcomes).count() > 0
     houses = valued.where("property_type = 'maison'").agg(F.count("*"), F.count_if(F.col("land_price") == 30.0)).first()
     assert houses[0] and valued.where("property_type <> 'maison' AND land_price IS NOT NULL").isEmpty()
+
+
+def test_lots_of_a_publication_are_compressed(spark, tmp_path, monkeypatch):
+    from plotline.catalog import maintenance as cm
+
+    names = cm.fixed.SALE_LINE_COLUMNS
+    (tmp_path / "sale-files").mkdir()
+    rows = [",".join(key if c == "id_mutation" else "" for c in names) for key in ("13", "14", "15", "16")]
+    (tmp_path / "sale-files" / "part-0.csv").write_text("\n".join([",".join(names), *rows]) + "\n")
+    read = []
+
+    def ingest(spark, folder, built, land, vintage, state, manifest):
+        listed = {r.import_file for r in manifest.select("import_file").distinct().collect()}
+        read.append((listed, spark.read.option("header", True).csv(folder).select("id_mutation", "_metadata.file_name").collect()))
+        empty = spark.createDataFrame([], "id_mutation string, is_outlier boolean, exclusion_reason string")
+        for path in (built, land):
+            empty.write.mode("overwrite").parquet(path)
+
+    monkeypatch.setattr(cm, "_sale_files", lambda spark, d: str(tmp_path / "sale-files"))
+    monkeypatch.setattr(cm.cs, "facts", lambda spark, d: spark.sql("SELECT '10' AS code_departement"))
+    monkeypatch.setattr(cm, "ingest", ingest)
+    monkeypatch.setattr(cm, "checkpoint_folder", lambda spark: str(tmp_path))
+    cm.departments_over_several_runs(spark, "unused")
+    assert sorted(r.id_mutation for r in read[1][1]) == ["13", "14", "15", "16"]
+    assert {r.file_name for r in read[1][1]} <= read[1][0] and all(f.endswith(".csv.gz") for f in read[1][0] | read[3][0])
